@@ -2,79 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from kinfold.operators.components import connected_components
+from kinfold.plans.staging import staged
 
 #: Runs of these bytes' complement are the words of a text (ASCII white space only).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    In local mode without the setting a temporary folder is made; a cluster without it is an error.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="kinfold-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`stash` that nothing will read again."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+    return staged(df, name)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a long, b long)``: one row ``(node, root)`` per node, root the smallest node reachable.
-
-    Alternating large-star and small-star steps (Kiveris et al., SoCC 2014), each written to the shared
-    folder. A step shuffles each edge a bounded number of times; a node with very many edges is a skewed
-    join key, which adaptive execution splits, and its minimum is aggregated before the shuffle.
-    Self-loops keep their node; an empty input gives an empty result.
-    """
-    loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-    now = stash(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = _digest(now)
-    while seen[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stash(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stash(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        discard(large)
-        discard(now)
-        now, last = after, seen
-        seen = _digest(now)
-        if seen == last:
-            break
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    alone = now.select(F.col("v").alias("node")).unionByName(loops).distinct().join(stars, "node", "left_anti")
-    return stars.unionByName(alone.select("node", F.col("node").alias("root")))
+    """``(node, root)`` per node of ``edges(a long, b long)``, root the smallest node reachable; no edges, no rows."""
+    return connected_components(edges.select("a", "b"))
