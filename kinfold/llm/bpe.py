@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections import defaultdict
 from functools import lru_cache
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 #: Pieces up to this many bytes are merged many at a time; longer ones alone.
 WIDE = 64
 #: Encoded pieces that a worker remembers, at most.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 NO_PAIR = 1 << 60
 
 
@@ -182,34 +183,57 @@ class Vocabulary:
         return [row[row >= 0].tolist() for row in ids]
 
 
+class _Known(dict):
+    """Ids by piece; asking for an unknown piece gives it an empty list and notes it down to be filled."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[tuple[str, list[int]]] = []
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids: list[int] = []
+        self[piece] = ids
+        self.new.append((piece, ids))
+        return ids
+
+
 class Encoder:
     """Texts to ids and back, with a bounded memory of encoded pieces."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.vocabulary = Vocabulary(path)
         self.pieces = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known()
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text: every match of the pattern that is a token is that token, any other is merged from bytes."""
-        split = [self.pieces(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, ranks = self.known, self.vocabulary.ranks
-        new = {p for pieces in split for p in pieces if p not in known}
-        short, long = [], []
-        for p in new:
+            self.known = _Known()
+        watching = gc.isenabled()
+        gc.disable()  # many small lists, none in a cycle
+        try:
+            known = self.known
+            found = [list(map(known.__getitem__, self.pieces(t))) for t in texts]
+            self._fill(known)
+            return [list(chain.from_iterable(x)) for x in found]
+        finally:
+            if watching:
+                gc.enable()
+
+    def _fill(self, known: _Known) -> None:
+        ranks, short = self.vocabulary.ranks, []
+        for p, ids in known.new:
             raw = p.encode("utf-8", "replace")
             whole = ranks.get(raw)
             if whole is not None:
-                known[p] = (whole,)
+                ids.append(whole)
+            elif len(raw) <= WIDE:
+                short.append((raw, ids))
             else:
-                (short if len(raw) <= WIDE else long).append((p, raw))
-        for (p, _), ids in zip(short, self.vocabulary.merge_many([raw for _, raw in short]), strict=True):
-            known[p] = tuple(ids)
-        for p, raw in long:
-            known[p] = tuple(self.vocabulary.merge_one(raw))
-        return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+                ids += self.vocabulary.merge_one(raw)
+        for (_, ids), merged in zip(short, self.vocabulary.merge_many([raw for raw, _ in short]), strict=True):
+            ids += merged
+        known.new = []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
