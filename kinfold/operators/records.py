@@ -73,7 +73,9 @@ def canonicalize(source: Source) -> DataFrame:
         first.setdefault(t, c)
     ids = [raw[c] for c in RECORD_ID_HEADERS if c in raw]
     pairs = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v)]) if d else F.create_map().cast("map<string,string>")
-    key = F.concat_ws("\u0001", *[F.when(F.col(f"`{c}`").cast("double").isNotNull(), F.format_string("%020.3f", F.col(f"`{c}`").cast("double"))).otherwise(F.col(f"`{c}`").cast("string")) for c in source.order]) if source.order else F.lit("")
+    numeric = lambda c: _kind(dict(df.dtypes)[c]) in ("int", "float")
+    ordered = [F.format_string("%020.3f", F.col(f"`{c}`").cast("double")) if numeric(c) else F.col(f"`{c}`").cast("string") for c in source.order]
+    key = F.concat_ws("\u0001", *ordered) if ordered else F.lit("")
     return df.select(
         F.lit(source.source_id).alias("source_id"),
         F.lit(source.part_id).alias("part_id"),

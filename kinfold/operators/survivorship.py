@@ -27,7 +27,7 @@ def time_key(raw: Column, kind: Column) -> Column:
     text = F.when(raw.rlike(r"^\d{4}$"), F.concat(raw, F.lit("-01-01"))).when(raw.rlike(_ISO), raw)
     # Nanoseconds in decimal, as years beyond 2262 would not fit a long.
     at = (F.unix_micros(F.try_to_timestamp(text)).cast("decimal(30,0)") * 1000).cast("decimal(30,0)")
-    return F.when(kind.isin("int", "float"), F.floor(raw.cast("double")).cast("decimal(30,0)")).when(kind == "text", at)
+    return F.when(kind.isin("int", "float"), F.floor(raw.try_cast("double")).cast("decimal(30,0)")).when(kind == "text", at)
 
 
 def attribute_entries(records: DataFrame, members: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def attribute_entries(records: DataFrame, members: DataFrame) -> DataFrame:
         "source_id", "record_uuid", F.coalesce(F.col("columns")[F.col("attribute")], F.col("attribute")).alias("source_column"),
     )
     left = F.map_filter("raw", lambda k, v: v.isNotNull() & ~F.array_contains("taken", k))
-    rest = r.withColumn("taken", F.coalesce(F.col("mapped_columns"), F.array().cast("array<string>"))) if "mapped_columns" in r.columns else r.withColumn("taken", F.map_values("columns"))
+    rest = r.withColumn("taken", F.map_values("columns"))
     passed = rest.select("entity_id", "seq", "source_id", "record_uuid", "kinds", F.explode(left).alias("attribute", "raw_value")).select(
         "entity_id", "attribute", "seq", F.lit(1).alias("ord"), "raw_value", F.trim("raw_value").alias("norm_value"), F.coalesce(F.col("kinds")[F.col("attribute")], F.lit("text")).alias("kind"),
         "source_id", "record_uuid", F.col("attribute").alias("source_column"),
