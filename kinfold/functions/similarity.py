@@ -71,9 +71,7 @@ def jaro_winkler_pair(a: str | None, b: str | None, weight: float = 0.1, longest
     return jaro + min(prefix, longest) * weight * (1 - jaro)
 
 
-@F.pandas_udf("double")
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """:func:`jaro_winkler_pair` over columns; each distinct pair of a batch is computed once."""
+def _jaro_winkler_batch(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict[tuple, float] = {}
     out = []
     for pair in zip(a, b, strict=True):
@@ -81,3 +79,8 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
             known[pair] = jaro_winkler_pair(*pair)
         out.append(known[pair])
     return pd.Series(out, dtype="float64")
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """:func:`jaro_winkler_pair` over columns, in Arrow batches; each distinct pair of a batch is computed once."""
+    return F.pandas_udf(_jaro_winkler_batch, "double")(a, b)
