@@ -49,20 +49,18 @@ class JobLog:
         self._append(job_id=job_id, source_id=source_id, job_type=job_type, status=QUEUED, total_records=total_records)
 
     def start(self, job_id: str, work: Callable[[], None], source_id: str = "", job_type: str = "resolve") -> bool:
-        """Run ``work`` in a thread under the job's tag; False if the job is running already."""
+        """Run ``work`` in a thread, under the job's group; False if the job is running already."""
         with self._lock:
             if self.is_running(job_id):
                 return False
 
             def run() -> None:
-                self.spark.addTag(job_id)
+                self.spark.sparkContext.setJobGroup(job_id, f"{job_type} {source_id}")
                 try:
                     work()
                     self._append(job_id=job_id, source_id=source_id, job_type=job_type, status=COMPLETED)
                 except Exception as e:  # the log is where a job's error belongs
                     self._append(job_id=job_id, source_id=source_id, job_type=job_type, status=FAILED, error_message=str(e)[:2000])
-                finally:
-                    self.spark.removeTag(job_id)
 
             self._append(job_id=job_id, source_id=source_id, job_type=job_type, status=RUNNING)
             self._threads[job_id] = threading.Thread(target=run, daemon=True, name=f"job-{job_id}")

@@ -6,7 +6,6 @@ import os
 import sqlite3
 import tempfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Scripts above this many bytes are loaded into a file instead of memory.
@@ -44,7 +43,9 @@ def _table(spark: SparkSession, db: sqlite3.Connection, table: str) -> DataFrame
     types = {c: "bigint" if "INT" in k else "double" if any(x in k for x in ("REAL", "FLOA", "DOUB")) else "string" for c, k in kinds.items()}
     schema = ", ".join(f"`{c}` {t}" for c, t in types.items())
     out = spark.createDataFrame([], schema)
-    for chunk in pd.read_sql_query(f"SELECT * FROM {quoted}", db, chunksize=CHUNK, dtype=object):
-        rows = [tuple(None if v is None else str(v) if types[c] == "string" else (int if types[c] == "bigint" else float)(v) for c, v in zip(chunk.columns, r, strict=True)) for r in chunk.itertuples(index=False)]
-        out = out.unionByName(spark.createDataFrame(rows, schema))
+    make = {"bigint": int, "double": float, "string": str}
+    rows = db.execute(f"SELECT * FROM {quoted}")
+    while chunk := rows.fetchmany(CHUNK):
+        typed = [tuple(None if v is None else make[t](v) for v, t in zip(r, types.values(), strict=True)) for r in chunk]
+        out = out.unionByName(spark.createDataFrame(typed, schema))
     return out

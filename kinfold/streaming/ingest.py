@@ -29,17 +29,22 @@ def resolve_stream(stream: DataFrame, as_source: Callable[[DataFrame, int], Sour
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
 
+def _watermarked(stream: DataFrame, at: str, late: str) -> DataFrame:
+    """A watermark needs a time with a zone; one without is taken in the session's."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+
+
 def distinct_events(stream: DataFrame, key: str = "event_id", at: str = "ts", late: str = "10 minutes") -> DataFrame:
     """Events once each, if their repeats come within the watermark."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return _watermarked(stream, at, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_activity(stream: DataFrame, at: str = "ts", late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Events, users and sums per window and type; windows close when the watermark passes them."""
-    grouped = stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), "event_type")
+    grouped = _watermarked(stream, at, late).groupBy(F.window(at, width).alias("w"), "event_type")
     return grouped.agg(F.count("*").alias("n_events"), F.sum("value").alias("sum_value")).select(F.col("w.start").alias("window_start"), "event_type", "n_events", "sum_value")
 
 
 def sessions(stream: DataFrame, at: str = "ts", late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user: runs of events with no gap longer than ``gap``."""
-    return stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("s"), "user_id").agg(F.count("*").alias("n_events")).select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "user_id", "n_events")
+    return _watermarked(stream, at, late).groupBy(F.session_window(at, gap).alias("s"), "user_id").agg(F.count("*").alias("n_events")).select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "user_id", "n_events")
