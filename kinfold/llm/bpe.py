@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import text_udf
+
 #: Pieces up to this many bytes are merged many at a time; longer ones alone.
 WIDE = 64
 #: Encoded pieces that a worker remembers, at most.
@@ -269,7 +271,7 @@ def with_token_ids(docs: DataFrame, text: str = "text", out: str = "ids", path:
     """``docs`` with ``out``: the ids of the whole text (null: of the empty text). The vocabulary file is read on each executor."""
     path, pattern = (path, pattern) if path and pattern else _default()
 
-    @F.arrow_udf("array<int>")
+    @text_udf(docs, "array<int>")
     def of(texts: pa.Array) -> pa.Array:
         found = chain.from_iterable(encoder(path, pattern).encode_many(b) for b in _batches(texts))
         return pa.array(list(found), pa.list_(pa.int32()))
@@ -284,7 +286,7 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, patter
     """
     path, pattern = (path, pattern) if path and pattern else _default()
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+    @text_udf(docs, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:
         coder = encoder(path, pattern)
         n, ids_hash, text_hash = [], [], []

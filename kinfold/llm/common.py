@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinfold.operators.components import connected_components
 from kinfold.plans.staging import staged
@@ -10,6 +13,18 @@ from kinfold.plans.staging import staged
 #: Runs of these bytes' complement are the words of a text (ASCII white space only).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch of texts, at most: a batch is held by the JVM and by Python at once, and texts can be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_udf(df: DataFrame, kind: str) -> Callable:
+    """Decorates a function of Arrow arrays into a UDF over texts of ``df``, with batches of at most ``BATCH_ROWS`` rows in its session."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return lambda f: F.arrow_udf(f, kind)
+
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: it is computed once and survives lost executors."""

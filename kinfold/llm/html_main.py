@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import text_udf
+
 #: Branches of less importance are removed.
 LEAST_IMPORTANCE = 0.15
 #: Pages of a host that show a node before its entropy counts.
@@ -230,7 +232,7 @@ def site_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     counted by partial aggregates before the shuffle, so a host with a third of all pages is summed in parts.
     """
 
-    @F.arrow_udf("array<struct<node: bigint, kind: int, sig: bigint, said: int>>")
+    @text_udf(pages, "array<struct<node: bigint, kind: int, sig: bigint, said: int>>")
     def of(sources: pa.Array) -> pa.Array:
         rows = [[dict(zip(("node", "kind", "sig", "said"), x, strict=True)) for x in signatures(s.as_py())] for s in sources]
         return pa.array(rows, pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64()), ("said", pa.int32())])))
@@ -256,7 +258,7 @@ def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_
     low = site_tree(pages).where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages))
     low = low.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_set("node")).alias("_low"))
 
-    @F.arrow_udf("string")
+    @text_udf(pages, "string")
     def of(sources: pa.Array, nodes: pa.Array) -> pa.Array:
         return pa.array([main_text(s.as_py(), n.as_py()) for s, n in zip(sources, nodes, strict=True)], pa.string())
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import text_udf
+
 #: Bytes of context at most; four bytes, context and symbol, fit one code.
 ORDER = 3
 #: Labelled documents that the statistics are taken from, per language, at most.
@@ -99,15 +101,15 @@ class ContextTrees:
         at = 0
         while at < len(texts):
             chunk, size, first = [], 0, at
-            while at < len(texts) and size < 1 << 20:
+            while at < len(texts) and size < 1 << 18:
                 chunk.append(_padded(texts[at]))
                 size += len(chunk[-1])
                 at += 1
             data = np.frombuffer(b"".join(chunk), dtype=np.uint8)
             own = np.array([len(x) for x in chunk])
             start = np.concatenate(([0], np.cumsum(own)[:-1]))
-            for lo in range(0, len(data) - ORDER, 1 << 20):
-                codes = _codes(data[lo : lo + (1 << 20) + ORDER])
+            for lo in range(0, len(data) - ORDER, 1 << 18):
+                codes = _codes(data[lo : lo + (1 << 18) + ORDER])
                 row = self.table[self.pair[codes >> 16].astype(np.int32) * self.width + self.pair[codes & 0xFFFF]]
                 cost = self.rows[row]
                 new = np.flatnonzero(row == 0)
@@ -175,7 +177,7 @@ def with_language(docs: DataFrame, trees: ContextTrees, text: str = "text", out:
     """``docs`` with the struct ``out(lang_pred, score)`` from their whole texts; the trees are broadcast, bounded by the sample."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @text_udf(docs, "struct<lang_pred: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
         name, score = [], []
         for at in range(0, len(texts), 256):

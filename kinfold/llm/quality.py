@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.llm.common import text_udf
 from kinfold.llm.langid import held_out
 
 #: Labelled documents to learn from, at most: those of smallest hash of doc_id.
@@ -133,7 +134,7 @@ class BoostedTrees:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
-    @F.arrow_udf("array<double>")
+    @text_udf(docs, "array<double>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
@@ -158,7 +159,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``; null and empty texts are scored by their zero statistics."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    @F.arrow_udf("double")
+    @text_udf(docs, "double")
     def of(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
         for at in range(0, len(texts), 512):

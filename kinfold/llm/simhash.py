@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import components, stash
+from kinfold.llm.common import components, stash, text_udf
 
 RADIUS = 3
 SHINGLE = 3
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", keep: lis
     """``keep`` columns of ``docs`` plus ``out``: the fingerprint as a signed long."""
     keep = ["doc_id"] if keep is None else keep
 
-    @F.arrow_udf("long")
+    @text_udf(docs, "long")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import stash
+from kinfold.llm.common import stash, text_udf
 
 #: Sentences in a run.
 RUN = 3
@@ -94,7 +94,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     that a third of all documents share is one row per task there; the join back is one that adaptive
     execution splits.
     """
-    @F.arrow_udf("array<struct<h: bigint, pos: int, k: int>>")
+    @text_udf(docs, "array<struct<h: bigint, pos: int, k: int>>")
     def runs(texts: pa.Array) -> pa.Array:
         found = [run_hashes(t.as_py()) for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32)
@@ -116,7 +116,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     own = docs.columns
 
-    @F.arrow_udf("string")
+    @text_udf(docs, "string")
     def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return pa.array([cut(t.as_py(), r.as_py()) for t, r in zip(texts, runs, strict=True)], pa.string())
 
