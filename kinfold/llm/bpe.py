@@ -20,7 +20,7 @@ from kinfold.llm.common import text_udf
 #: Pieces up to this many bytes are merged many at a time; longer ones alone.
 WIDE = 64
 #: Encoded pieces that a worker remembers, at most.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 NO_PAIR = 1 << 60
 
 
@@ -35,6 +35,8 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.shown = [str(k) for k in range(len(self.tokens))]
+        #: One int object per id, shared by all lists of ids.
+        self.ids = list(range(len(self.tokens)))
         self.byte = np.array([self.ranks[bytes([k])] for k in range(256)], dtype=np.int64)
         self.merged = {}
         get = self.ranks.get
@@ -223,7 +225,7 @@ class Encoder:
                 gc.enable()
 
     def _fill(self, known: _Known) -> None:
-        ranks, short = self.vocabulary.ranks, []
+        ranks, short, one = self.vocabulary.ranks, [], self.vocabulary.ids.__getitem__
         for p, ids in known.new:
             raw = p.encode("utf-8", "replace")
             whole = ranks.get(raw)
@@ -232,9 +234,9 @@ class Encoder:
             elif len(raw) <= WIDE:
                 short.append((raw, ids))
             else:
-                ids += self.vocabulary.merge_one(raw)
+                ids += map(one, self.vocabulary.merge_one(raw))
         for (_, ids), merged in zip(short, self.vocabulary.merge_many([raw for raw, _ in short]), strict=True):
-            ids += merged
+            ids += map(one, merged)
         known.new = []
 
     def decode(self, ids: list[int]) -> bytes:
