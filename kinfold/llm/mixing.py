@@ -97,7 +97,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
             "*",
             "sum(want) over () as wanted",
             "coalesce(sum(want) over (order by source_no rows between unbounded preceding and 1 preceding), 0D) as before",
-        ).selectExpr("source", "source_no", "source_size", "target", "blocks", "wanted", "before / wanted as low", "(before + want) / wanted as high"),
+        ).selectExpr("source", "source_no", "source_size", "target", "blocks", "wanted", "coalesce(before / nullif(wanted, 0), 0D) as low", "coalesce((before + want) / nullif(wanted, 0), 0D) as high"),
         "mix-plan",
     )
     wanted = plan.agg(F.max("wanted")).first()[0] or 0

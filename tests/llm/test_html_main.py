@@ -2,7 +2,7 @@ import pytest
 
 from kinfold.llm import html_main as S
 
-PAGE = "<html><head><title>t</title><style>p{}</style><script>var x='</p><p>no';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1>{}</article><footer>&copy; x</footer></body></html>"
+PAGE = "<html><head><title>t</title><style>p{{}}</style><script>var x='</p><p>no';</script></head><body><nav><a>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head &amp; line</h1>{}</article><footer>&copy; x</footer></body></html>"
 
 
 @pytest.mark.parametrize(
@@ -38,7 +38,7 @@ def test_what_a_site_repeats_is_removed(spark):
     rows = [(k, f"http://site.org/{k}", site(f"Story number {k} tells of {k * k}")) for k in range(12)] + [(50 + k, f"http://few.org/{k}", site(f"Few {k}")) for k in range(3)]
     got = {r.page_id: r.text for r in S.extract(pages(spark, rows)).collect()}
     assert got[3] == "Story number 3 tells of 9"
-    assert got[51] == "Home About us\n\nFew 1\n\nAll rights kept by nobody"
+    assert got[51] == "HomeAbout us\n\nFew 1\n\nAll rights kept by nobody"
     tree = {(r.pages, round(r.content, 3)) for r in S.site_tree(pages(spark, rows)).where("host = 'site.org'").collect()}
     assert (12, 0.0) in tree and (12, 1.0) in tree
 

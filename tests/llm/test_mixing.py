@@ -62,11 +62,12 @@ def test_mix_follows_targets_and_limits(spark):
     for _, t, s in rows:
         sizes[s] += len((t or "").split())
     want = shares(sizes)
-    by_target = {round(v, 6): s for s, v in want.items()}
+    by_size = {n: s for s, n in sizes.items()}
+    assert len(by_size) == len(sizes)
     taken = Counter()
     for r in got:
-        s = by_target[round(r.target, 6)]
-        assert r.source_size == sizes[s] and 0 <= r.taken <= 3 * r.size
+        s = by_size[r.source_size]
+        assert r.target == pytest.approx(want[s]) and 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
     for s, v in want.items():
         assert abs(taken[s] - v) <= max(5, 0.02 * v)

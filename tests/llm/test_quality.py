@@ -31,7 +31,7 @@ def test_flat_arrays_score_as_a_walk_down_the_trees():
 def test_one_class_or_none_is_constant():
     assert S.BoostedTrees().fit(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0.5, 0.5]
     got = S.BoostedTrees().fit(np.zeros((8, 3)), np.ones(8)).score(np.ones((1, 3)))
-    assert got[0] == 0.9
+    assert np.isclose(got[0], 0.9)
 
 
 def test_query_on_odd_rows(spark):
