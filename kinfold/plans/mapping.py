@@ -197,3 +197,15 @@ def sample_row(df: DataFrame) -> list[tuple[str, str | None]]:
     some = [~is_blank(F.col(f"`{c}`"), SAMPLE_NULL_LITERALS) for c in df.columns]
     found = df.select(*texts).where(F.array_contains(F.array(*some), True)).limit(1).collect()
     return list(found[0].asDict().items()) if found else []
+
+
+def select_columns(proposals: dict[str, Proposal], show: str = "all", part: str = "") -> list[str]:
+    """Columns of a table to look at: ``all``, ``review`` (flagged), ``mapped`` or ``unmapped``, whose names hold ``part``."""
+    tests = {"all": lambda p: True, "review": lambda p: p.is_ambiguous, "mapped": lambda p: p.suggested_canonical != UNMAPPED, "unmapped": lambda p: p.suggested_canonical == UNMAPPED}
+    return [c for c, p in proposals.items() if tests[show](p) and part.strip().lower() in c.lower()]
+
+
+def previews(df: DataFrame, rows: int = 3) -> dict[str, list[str]]:
+    """Up to ``rows`` filled values of each column, from the table's first thousand rows."""
+    found = df.limit(1000).agg(*[F.slice(F.array_compact(F.collect_list(F.when(~is_blank(F.col(f"`{c}`").cast("string")), F.col(f"`{c}`").cast("string")))), 1, rows).alias(c) for c in df.columns]) if df.columns else None
+    return found.first().asDict() if found is not None else {}

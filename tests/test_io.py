@@ -3,6 +3,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.__main__ import main
 from kinfold.operators import jobs
 from kinfold.operators.components import clusters, connected_components
 from kinfold.operators.numbering import numbered, tagged
@@ -78,3 +79,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert published[max(published)].total_entities == events.select("user_id").distinct().count()
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("full_name,email_id\nAnn,a@b.c\nBob,\n")
+    (tmp_path / "b.sql").write_text("CREATE TABLE t (contact_id INTEGER, email_address TEXT, city TEXT); INSERT INTO t VALUES (1, 'A@B.C ', 'Rome');")
+    stats = main([str(tmp_path / "a.csv"), str(tmp_path / "b.sql"), "--export", f"file://{tmp_path}/out", "--store", f"file://{tmp_path}/repo"])
+    assert (stats["total_records"], stats["total_entities"], stats["linked_entities"], stats["total_sources"]) == (3, 2, 1, 2)
+    assert files.read_csv(spark, f"file://{tmp_path}/out").count() == 2

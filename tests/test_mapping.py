@@ -1,6 +1,6 @@
 import pytest
 
-from kinfold.plans.mapping import UNMAPPED, HeaderMapper, compatibility, indel_ratio, sample_row, slug, validate
+from kinfold.plans.mapping import UNMAPPED, HeaderMapper, compatibility, indel_ratio, previews, sample_row, select_columns, slug, validate
 
 MAPPER = HeaderMapper()
 
@@ -40,3 +40,10 @@ def test_sample_is_first_filled_row(spark):
     df = spark.createDataFrame([("", None), ("x@y.z", "n/a")], "mail string, note string").coalesce(1)
     assert sample_row(df) == [("mail", "x@y.z"), ("note", "n/a")]
     assert sample_row(df.where("mail = 'none'")) == []
+
+
+def test_columns_to_look_at(spark):
+    got = MAPPER.propose(["handle", "screen_name", "email", "warehouse_bay"])
+    assert select_columns(got, "review") == ["handle", "screen_name"] and select_columns(got, "mapped", "mail") == ["email"] and "warehouse_bay" in select_columns(got, "unmapped") and len(select_columns(got)) == 4
+    df = spark.createDataFrame([("a", None), ("b", "n/a"), ("c", "x"), ("d", "y")], "u string, v string").coalesce(1)
+    assert previews(df) == {"u": ["a", "b", "c"], "v": ["x", "y"]}
