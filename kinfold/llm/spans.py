@@ -17,7 +17,7 @@ RUN = 3
 #: Words that a run of ``RUN`` sentences has at least.
 LEAST_WORDS = 8
 #: A run of fewer sentences counts too from this many words on.
-LONG_WORDS = 50
+LONG_WORDS = 25
 #: A sentence ends after . ! ? with closing marks, at a line end, and before a word that starts with a capital
 #: (a passage pasted into the middle of a sentence starts its own).
 _END = re.compile(r"(?<=[.!?])[\"'»”’)\]]*\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
