@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="kinfold-"))
+    made = tempfile.mkdtemp(prefix="kinfold-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc.setCheckpointDir(made)
     return sc.getCheckpointDir().rstrip("/")
 
 
