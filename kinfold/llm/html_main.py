@@ -23,6 +23,8 @@ from kinfold.llm.common import text_udf
 LEAST_IMPORTANCE = 0.15
 #: Pages of a host that show a node before its entropy counts.
 LEAST_PAGES = 8
+#: Elements nested deeper are read as siblings, as browsers do; their text stays.
+DEEPEST = 512
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -108,6 +110,8 @@ class Page:
         self._text.append(text)
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
+        if len(self._open) >= DEEPEST:
+            self._open.pop()
         parent = self._open[-1]
         marks = _marks(attrs)
         shown = f"{tag}.{'.'.join(sorted(attrs.get('class', '').split()))}"

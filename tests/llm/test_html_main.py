@@ -21,6 +21,7 @@ def test_odd_pages():
     assert S.main_text("plain text", None) == "plain text"
     assert S.main_text("a < b <c", None) == "a < b"
     assert S.main_text("<div>" * 3000 + "x", None) == "x"
+    assert S.main_text("".join(f"<div>{k} " for k in range(3000)), None).split() == [str(k) for k in range(3000)]
     assert S.main_text("<p>" + "y " * 200_000, None) == ("y " * 200_000).strip()
     assert S.main_text("<article>a<aside><article>b</article></aside></article><article class='comment'>c</article>", None) == "a"
     assert S.main_text("<body class='menu'><form><div class='sidebar'><main>m<header>h</header></main></div></form>", None) == "m\n\nh"
