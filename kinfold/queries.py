@@ -17,9 +17,9 @@ from kinfold.functions.normalize import is_valid, normalize
 from kinfold.functions.text import MATCH_NULL_LITERALS, is_blank
 from kinfold.operators import features, jobs, linkage_models, master, matching, search, statistics, survivorship
 from kinfold.operators.records import Source, canonical_records
-from kinfold.operators.resolve import Resolution, resolve
+from kinfold.operators.resolve import Resolution, extend, resolve
 from kinfold.plans.mapping import HeaderMapper
-from kinfold.plans.staging import staged
+from kinfold.plans.staging import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -601,3 +601,70 @@ def windowed_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinfold.streaming.ingest import windowed_activity as aggregate
 
     return aggregate(_read(spark, sf_dir, "events")).withColumn("sum_value", F.round("sum_value", 4))
+
+
+@query("incremental_clusters", people("SELECT seq, root FROM lab"))
+def incremental_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, *later = people_sources(spark, sf_dir)
+    return extend(resolve([first]), later).labels.select("seq", "root")
+
+
+@query("search_by_id", people("SELECT 'ENT_00007' AS entity_id, 'id' AS how"))
+def search_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resolution(spark, sf_dir)
+    return search.search(r.provenance, r.members, r.records, r.labels, "entity_id", "ENT_00007")
+
+
+@query("entity_rows", people("SELECT ent.seq, source_id FROM ent JOIN rec ON ent.seq = rec.seq WHERE entity_id = 'ENT_00007'"))
+def entity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resolution(spark, sf_dir)
+    return search.entity_records(r.records, r.members, "ENT_00007").select("seq", "source_id")
+
+
+@query("valid_only_keys", people("SELECT seq, identifier_type, identifier_value FROM keys WHERE identifier_type NOT IN ('email', 'phone') OR (identifier_type = 'phone' AND length(identifier_value) BETWEEN 7 AND 15) OR regexp_matches(identifier_value, '^[a-z0-9_.-]+@[a-z0-9_.-]+\\.[a-z0-9_]+$')"))
+def valid_only_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = resolve(people_sources(spark, sf_dir), require_valid=True)
+    return r.keys.select("seq", "identifier_type", "identifier_value")
+
+
+@query("keyed_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT s_suppkey + 10000000, s_name FROM supplier")
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a key replaced, others kept, new ones added: what a repository's upsert writes."""
+    old = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    new = old.where(F.col("c_custkey") % 5 == 0).withColumn("segment", F.lit("UPDATED")).unionByName(_read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10000000).alias("c_custkey"), F.col("s_name").alias("segment")))
+    return old.join(new.select("c_custkey"), "c_custkey", "left_anti").unionByName(new)
+
+
+@query("csv_round_trip", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type FROM part")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as CSV into the shared folder and read back as text."""
+    import uuid
+
+    from kinfold.sources.files import read_csv
+
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    _read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type").write.option("header", True).csv(path)
+    return read_csv(spark, path)
+
+
+@query("token_sets", "SELECT p_partkey, list_sort(list_intersect(a, b)) AS shared, len(list_distinct(a || b)) AS n_all, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS n_only FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part)")
+def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (F.split(F.lower(c), " ") for c in ("p_name", "p_type"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("n_all"), F.size(F.array_except(a, b)).alias("n_only"))
+
+
+@query("session_activity", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS session_start, count(*) AS n_events FROM g GROUP BY user_id, s")
+def session_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kinfold.streaming.ingest import sessions
+
+    return sessions(_read(spark, sf_dir, "events")).select("user_id", "session_start", "n_events")
+
+
+@query("feature_stats_builtin", f"""WITH {_PEOPLE_RECORDS_SQL}, f AS (
+  SELECT CASE WHEN ak = bk THEN 1 ELSE 0 END AS y, round(1 - levenshtein(a.sn, b.sn) / greatest(length(a.sn), length(b.sn)), 4) AS surname_lev, CASE WHEN a.ssn = b.ssn AND a.ssn <> '' THEN 1.0 ELSE 0.0 END AS ssn_exact, CASE WHEN a.dob = b.dob THEN 1.0 ELSE 0.0 END AS dob_exact, n::DOUBLE AS num_passes_triggered
+  FROM pairs JOIN a ON a.k = ak JOIN b ON b.k = bk
+), l AS (SELECT y, 'surname_lev' AS feature, surname_lev::DOUBLE AS v FROM f UNION ALL SELECT y, 'ssn_exact', ssn_exact FROM f UNION ALL SELECT y, 'dob_exact', dob_exact FROM f UNION ALL SELECT y, 'num_passes_triggered', num_passes_triggered FROM f)
+SELECT feature, round(avg(v) FILTER (y = 1), 4) AS mean_match, round(coalesce(avg(v) FILTER (y = 0), 0), 4) AS mean_non_match, round(coalesce(stddev_samp(v) FILTER (y = 1), 0), 4) AS std_match FROM l GROUP BY feature""")
+def feature_stats_builtin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _features(spark, sf_dir).select("rec_id_a", "rec_id_b", "match_label", "surname_lev", "ssn_exact", "dob_exact", "num_passes_triggered")
+    return features.feature_statistics(made).select("feature", "mean_match", "mean_non_match", "std_match")
