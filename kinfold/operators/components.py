@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = Staged(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        large = Staged(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links", mark[0])
         least = large.df.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.df.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = Staged(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
+        after = Staged(moved.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links", 2 * mark[0])
         large.discard()
         now.discard()
         now, last, mark = after, mark, _mark(after.df)

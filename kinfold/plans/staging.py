@@ -23,14 +23,20 @@ def shared_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(made)
     return sc.getCheckpointDir().rstrip("/")
 
+#: Rows of a file of a table whose size is known.
+ROWS_IN_FILE = 500_000
+
 
 class Staged:
-    """A table written once: ``df`` reads it, :meth:`discard` deletes its files."""
+    """A table written once: ``df`` reads it, :meth:`discard` deletes its files.
+
+    ``rows`` is an upper estimate of its rows, if known: a small table then goes into few files.
+    """
 
-    def __init__(self, df: DataFrame, name: str) -> None:
+    def __init__(self, df: DataFrame, name: str, rows: int | None = None) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df if rows is None else df.coalesce(-(-rows // ROWS_IN_FILE) or 1)).write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def discard(self) -> None:
