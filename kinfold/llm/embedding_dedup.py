@@ -42,6 +42,11 @@ class SmallWorld:
             batch = order[done : done + min(max(8, done // 2), 512)]
             self._insert(batch, level, done)
             done += len(batch)
+        # Links into each node of the lowest layer, so that a walk goes both ways and no node is out of reach.
+        source, column = np.nonzero(self.links[0] >= 0)
+        target = self.links[0][source, column]
+        order = np.argsort(target, kind="stable")
+        self.into = np.split(source[order], np.cumsum(np.bincount(target, minlength=n))[:-1])
 
     def _insert(self, batch: np.ndarray, level: np.ndarray, done: int) -> None:
         q = self.x[batch]
@@ -83,12 +88,13 @@ class SmallWorld:
         if len(ids) <= width:
             return ids
         between = self.x[ids] @ self.x[ids].T
-        chosen, rest = [], []
+        chosen, rest, covered, own = [], [], np.full(len(ids), -np.inf), sims.tolist()
         for j in range(len(ids)):
-            if len(chosen) >= width // 2 or (chosen and between[j, chosen].max() > sims[j]):
+            if len(chosen) >= width // 2 or covered[j] > own[j]:
                 rest.append(j)
             else:
                 chosen.append(j)
+                np.maximum(covered, between[j], out=covered)
         return ids[chosen + rest[: width - len(chosen)]]
 
     def _beam(self, q: np.ndarray, start: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +141,7 @@ class SmallWorld:
                 hit = ids[r][sims[r] >= least]
                 known, edge = set(hit.tolist()), hit
                 while len(edge):
-                    new = np.unique(self.links[0][edge])
+                    new = np.unique(np.concatenate((self.links[0][edge].ravel(), *(self.into[x] for x in edge.tolist()))))
                     new = np.array([x for x in new.tolist() if x >= 0 and x not in known], dtype=np.int64)
                     edge = new[self.x[new] @ part[r] >= least] if len(new) else new
                     known.update(edge.tolist())
