@@ -12,16 +12,16 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; the root is the least node reachable.
 
     Large-star and small-star rounds (Kiveris et al., SoCC 2014), each written to the shared folder; the number
     of rounds grows with the logarithm of the longest chain. Each node's least neighbour is aggregated before
     the shuffle, and the join back on a node with very many links is one that adaptive execution splits.
-    A link of a node with itself keeps the node.
+    A link of a node with itself keeps the node. ``rows`` is about how many links there are, if known.
     """
     loops = edges.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-    now = Staged(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now = Staged(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", rows)
     mark = _mark(now.df)
     while mark[0]:
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
