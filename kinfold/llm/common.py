@@ -19,11 +19,15 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def text_udf(df: DataFrame, kind: str) -> Callable:
-    """Decorates a function of Arrow arrays into a UDF over texts of ``df``, with batches of at most ``BATCH_ROWS`` rows in its session."""
+    """Decorates a function of Arrow arrays into a UDF over texts of ``df``, with batches of at most ``BATCH_ROWS`` rows in its session.
+
+    It is declared nondeterministic, which it is not: else filters on its result are pushed below joins and
+    projections as copies of it, and each text goes through Python again.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
         conf.set(_BATCH, str(BATCH_ROWS))
-    return lambda f: F.arrow_udf(f, kind)
+    return lambda f: F.arrow_udf(f, kind).asNondeterministic()
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +35,6 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return staged(df, name)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``(node, root)`` per node of ``edges(a long, b long)``, root the smallest node reachable; no edges, no rows."""
-    return connected_components(edges.select("a", "b"))
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``(node, root)`` per node of ``edges(a long, b long)``, root the smallest node reachable; no edges, no rows. ``rows``: about how many edges."""
+    return connected_components(edges.select("a", "b"), rows)

@@ -241,7 +241,8 @@ def site_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
         rows = [[dict(zip(("node", "kind", "sig", "said"), x, strict=True)) for x in signatures(s.as_py())] for s in sources]
         return pa.array(rows, pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64()), ("said", pa.int32())])))
 
-    rows = pages.select(host_of(url).alias("host"), F.explode(of(source)).alias("x")).where(F.col("host") != "").select("host", "x.*")
+    found = pages.select(host_of(url).alias("host"), F.col(source).alias("source")).where(F.col("host") != "").select("host", of("source").alias("xs"))
+    rows = found.select("host", F.explode("xs").alias("x")).select("host", "x.*")
     counts = rows.groupBy("host", "node", "kind", "sig").agg(F.count("*").alias("c"), F.max("said").alias("said"))
     sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), F.max("said").alias("said"))
     spread = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)

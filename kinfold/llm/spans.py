@@ -101,7 +101,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         parts = [pa.array(np.concatenate([f[j] for f in found])) if found else pa.array([], (pa.int64(), pa.int32(), pa.int32())[j]) for j in range(3)]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["h", "pos", "k"]))
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.explode(runs("text")).alias("r")).select("doc_id", "th", "r.h", "r.pos", "r.k")
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), runs("text").alias("rs"))
+    rows = found.select("doc_id", "th", F.explode("rs").alias("r")).select("doc_id", "th", "r.h", "r.pos", "r.k")
     rows = stash(rows, "spans-runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
     firsts = rows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
