@@ -178,19 +178,21 @@ def _links(batches: Iterator[pa.RecordBatch], limit: int | None, radius: int) ->
         yield from whole(*held)
 
 
-def link_fingerprints(fps: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = RADIUS, small_bucket: int = SMALL_BUCKET, files: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fps(fp long)`` whose components are those of the whole graph within the radius.
 
     A bucket of more than ``small_bucket`` fingerprints is split by the covering masks over the positions its
     own mask leaves free: pairs within the radius meet again there, and a part's fingerprints then differ in no
-    more than 18 positions, so it is bounded. Each task returns a spanning forest, not pairs.
+    more than 18 positions, so it is bounded. Each task returns a spanning forest, not pairs. ``files``: into how
+    many files the links go; by default one a task.
     """
     if radius != RADIUS:
         raise ValueError("the tables are laid out for a radius of 3")
     keys = [F.struct(F.lit(k).cast("int").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(TABLES)]
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("x.t", "x.key", "fp")
     dealt = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    found = stash(dealt.mapInArrow(lambda b: _links(b, small_bucket, radius), "kind byte, a long, b long"), "simhash-links")
+    links = dealt.mapInArrow(lambda b: _links(b, small_bucket, radius), "kind byte, a long, b long")
+    found = stash(links if files is None else links.repartition(files), "simhash-links")
     large = found.where("kind = 1").select(F.col("b").alias("t"), F.col("a").alias("fp"))
     outer = F.element_at(F.array(*[F.lit(_signed(m)) for m in TABLES]), F.col("t").cast("int") + 1)
     split = [F.struct(F.lit(k).cast("int").alias("t2"), F.element_at(F.array(*[F.lit(_signed(inner[k])) for inner in INNER]), F.col("t").cast("int") + 1).alias("m2")) for k in range(len(TABLES))]
@@ -211,7 +213,8 @@ def simhash_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = stash(fingerprints(docs), "simhash-rows")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(link_fingerprints(nodes.select("fp")))
+    count = rows.count()
+    roots = components(link_fingerprints(nodes.select("fp"), files=1 + count // 200_000), count)
     of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = of.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))).getField("fp").alias("best"))
     classes = of.join(best, "root").select("fp", "root", "component_id", (F.col("fp") == F.col("best")).alias("keeper"))
