@@ -14,13 +14,20 @@ from kinfold.llm.common import stash, text_udf
 
 #: Sentences in a run.
 RUN = 3
-#: Words that a run of ``RUN`` sentences has at least.
+#: Words that a run has at least; one of ``RUN`` sentences with fewer grows by sentences until it holds them.
 LEAST_WORDS = 8
 #: A run of fewer sentences counts too from this many words on.
 LONG_WORDS = 25
-#: A sentence ends after . ! ? with closing marks, at a line end, and before a word that starts with a capital
-#: (a passage pasted into the middle of a sentence starts its own).
-_END = re.compile(r"(?<=[.!?])[\"'»”’)\]]*\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
+#: Letters of scripts written without spaces between words; two of them count as a word more.
+_LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
+_UNSPACED = re.compile(f"[{_LETTERS}]")
+#: A sentence ends after . ! ? and the like with closing marks, at a line end, before a word that starts with a
+#: capital (a passage pasted into the middle of a sentence starts its own), after the full-width stops, which no
+#: space follows, and at a space within a script that has none between words.
+_END = re.compile(
+    r"(?<=[.!?।॥۔؟።])[\"'»”’)\]]*\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])"
+    rf"|(?<=[。！？｡])(?![。！？｡])[\"'»”’)\]」』）】》]*\s*|(?<=[{_LETTERS}])\s+"
+)
 
 
 def sentences(text: str) -> tuple[list[int], list[int]]:
@@ -41,29 +48,36 @@ def run_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(hash, first sentence, sentences)`` of every run of a text.
 
     Sentences are compared by their lower-cased words. Each run of ``RUN`` sentences with ``LEAST_WORDS`` words
-    is hashed, and each shorter run with ``LONG_WORDS`` words.
+    is hashed, each shorter run with ``LONG_WORDS`` words, and each longer run with ``LEAST_WORDS`` words that has
+    fewer without its first or without its last sentence. So any passage of ``RUN`` sentences and ``LEAST_WORDS``
+    words is covered by runs inside it, however short its sentences are.
     """
     starts, ends = sentences(text) if text else ([], [])
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     own, count = [], []
+    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
     for s, e in zip(starts, ends, strict=True):
         words = text[s:e].lower().split()
         own.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
-        count.append(len(words))
+        count.append(len(words) + (len(_UNSPACED.findall(text[s:e])) // 2 if unspaced else 0))
     own, words = np.array(own, dtype=np.uint64), np.array(count)
     out = []
     with np.errstate(over="ignore"):
-        for k in range(1, RUN + 1):
+        total = words
+        for k in range(1, max(RUN, LEAST_WORDS) + 1):
             n = len(own) - k + 1
-            if n <= 0:
+            if n <= 0 or (k > RUN and (total >= LEAST_WORDS).all()):
                 break
-            total = np.convolve(words, np.ones(k, dtype=words.dtype), "valid")
+            shorter, total = total, np.convolve(words, np.ones(k, dtype=words.dtype), "valid")
             mixed = np.full(n, k, dtype=np.uint64)
             for j in range(k):
                 mixed = (mixed ^ own[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-            at = np.flatnonzero(total >= (LEAST_WORDS if k == RUN else LONG_WORDS))
+            enough = total >= (LONG_WORDS if k < RUN else LEAST_WORDS)
+            if k > RUN:
+                enough &= (shorter[:-1] < LEAST_WORDS) | (shorter[1:] < LEAST_WORDS)
+            at = np.flatnonzero(enough)
             out.append((mixed[at].view(np.int64), at.astype(np.int32), np.full(len(at), k, np.int32)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

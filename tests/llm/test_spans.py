@@ -71,3 +71,21 @@ def test_a_very_long_text(spark):
     text = " ".join(f"Sentence number {k} is here." for k in range(30_000))
     got = {r.doc_id: r.sentences_removed for r in S.remove_repeats(docs(spark, [(1, text), (2, text)])).collect()}
     assert got == {1: 0, 2: 30_000}
+
+
+def test_passages_of_short_sentences(spark):
+    title = " ".join(f"Word{k} And{k} More{k} Said{k}" for k in range(20))
+    passages = [
+        title, title.upper(), "\n".join(f"第{chr(0x4E00 + 7 * k)}行的內容是{chr(0x5000 + 11 * k)}" for k in range(40)), "".join(f"这是第{chr(0x4E00 + 5 * k)}个句子。" for k in range(12)),
+        " ".join(f"Step{k} begins." for k in range(24)), "Every long sentence of this passage has more than eight words. Yes. No. Well.", "ประโยคแรกของข้อความนี้ ประโยคที่สองของข้อความ ประโยคที่สามของข้อความ",
+    ]
+    for passage in passages:
+        rows = [(1, f"First of all, our own words.\n{passage}\nand so it ends."), (2, f"Here is another start.\n{passage}\nthen something else.")]
+        got = {r.doc_id: r.kept_text for r in S.remove_repeats(docs(spark, rows)).collect()}
+        assert got == {1: rows[0][1], 2: "Here is another start.\nthen something else."}
+
+
+def test_runs_grow_only_until_they_hold_enough_words():
+    _, at, k = S.run_hashes(" ".join(f"W{j}" for j in range(100)))
+    assert set(k) == {S.LEAST_WORDS} and list(at) == list(range(93))
+    assert len(S.run_hashes("Hi. Yo. Oh. Hi.")[0]) == 0
