@@ -156,15 +156,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
     """Context trees from a bounded sample of ``docs``: per language, the ``sample_docs`` non-empty texts of smallest hash.
 
-    The languages are all non-null values of ``lang``. A threshold on the hash of the text, set by each
-    language's count, thins the rows before they are ranked, so no task ranks more than a small multiple of
-    the bound. The driver gets the counts of distinct codes of that sample.
+    The languages are all non-null values of ``lang``. Copies of a text count once in a language, in its size
+    as in the sample: each distinct text has one hash, and a threshold on it, set by the number of the language's
+    distinct hashes, thins the rows before they are folded and ranked, so no task ranks more than a small multiple
+    of the bound; a language of no more distinct texts than that gives all of them. The driver gets the counts of
+    distinct codes of that sample.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    size = rows.groupBy("lang").count()
+    rows = rows.withColumn("mark", F.xxhash64("text", F.lit(9)))
+    size = rows.select("lang", "mark").distinct().groupBy("lang").count()
     share = F.lit(2.0 * sample_docs + 200) / F.col("count")
-    mark = F.xxhash64("text", F.lit(9))
-    thin = rows.withColumn("mark", mark).join(F.broadcast(size), "lang").where((F.pmod("mark", F.lit(1 << 30)) / float(1 << 30)) < share)
+    thin = rows.join(F.broadcast(size), "lang").where((F.pmod("mark", F.lit(1 << 30)) / float(1 << 30)) < share).select("lang", "text", "mark").distinct()
     ranked = thin.selectExpr("lang", "text", "row_number() over (partition by lang order by mark, text) as place").where(F.col("place") <= sample_docs)
     counts = ranked.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     names, code, n = counts.column("lang").to_pylist(), counts.column("code").to_numpy(), counts.column("n").to_numpy()

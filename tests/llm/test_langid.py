@@ -79,3 +79,15 @@ def test_held_out_accuracy_on_the_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = S.predict_language(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.where("lang = lang_pred").count() >= 0.98 * got.count()
+
+
+def test_copies_count_once_and_drop_no_language(spark):
+    fr = [(k, FR[k % 2], "fr", "s", 1.0) for k in range(400)]
+    en = [(1000 + k, EN[0], "en", "s", 1.0) for k in range(400)] + [(2000 + k, EN[1 + k % 2] + f" {k}", "en", "s", 1.0) for k in range(8)]
+    few = S.train(docs(spark, [*fr[:2], en[0], *en[400:]]))
+    for sample_docs in (1, 2, 20):
+        trees = S.train(docs(spark, fr + en), sample_docs=sample_docs)
+        assert trees.languages == ["en", "fr"]
+    # 20 places hold all distinct texts, each once.
+    for k in range(2):
+        assert all(np.array_equal(x, y) for a, b in zip(trees.nodes[k], few.nodes[k], strict=True) for x, y in zip(a, b, strict=True))
