@@ -21,7 +21,7 @@ ASK = 8192
 LINKS = 12
 BUILD_BEAM = 48
 FIRST_BEAM = 32
-#: Queries of a task that are also answered by brute force.
+#: Queries with links to other vectors that a task's audit answers by brute force; with fewer of them, all queries are.
 AUDIT = 128
 _CHUNK = 256
 
@@ -149,21 +149,39 @@ class SmallWorld:
         return out
 
 
-def audited_links(world: SmallWorld, q: np.ndarray, least: float) -> list[np.ndarray]:
-    """Links of all queries, with the beam doubled until a sample's brute-force links are all found.
+def audited_links(world: SmallWorld, q: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Links of all queries, with the beam doubled until all true links of an audit's queries are found.
 
-    A beam as wide as the shard is an exact scan, so the loop ends. The sample is every so-manyth query.
+    ``own`` is each query's own node, -1 if the shard does not hold it. Queries are answered by brute force in random
+    order until ``AUDIT`` of them have a link to another node: those are the audit, for a query with no link but
+    itself tests nothing. If the queries run out first, all of them have their exact answer. A beam as wide as the
+    shard is an exact scan, so the loop ends. Queries answered by brute force keep that answer.
     """
-    step = max(1, len(q) // AUDIT)
-    sample = q[::step]
-    true = [np.flatnonzero(row >= least) for s in range(0, len(sample), _CHUNK) for row in sample[s : s + _CHUNK] @ world.x.T]
-    beam, n = FIRST_BEAM, len(world.x)
-    while beam < n:
-        found = world.within(sample, beam, least)
-        if all(np.isin(t, f).all() for t, f in zip(true, found, strict=True)):
-            return world.within(q, beam, least)
+    own = np.full(len(q), -1) if own is None else own
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    true: dict[int, np.ndarray] = {}
+    linked: list[int] = []
+
+    def scan(ks: np.ndarray) -> None:
+        for k, row in zip(ks.tolist(), q[ks] @ world.x.T, strict=True):
+            true[k] = np.flatnonzero(row >= least)
+            if (true[k] != own[k]).any():
+                linked.append(k)
+
+    at, beam, n = 0, FIRST_BEAM, len(world.x)
+    while at < len(q) and len(linked) < AUDIT:
+        scan(order[at : at + _CHUNK])
+        at += _CHUNK
+    while at < len(q) and beam < n:
+        found = world.within(q[linked], beam, least)
+        if all(np.isin(true[k], f).all() for k, f in zip(linked, found, strict=True)):
+            rest = order[at:]
+            true.update(zip(rest.tolist(), world.within(q[rest], beam, least), strict=True))
+            at = len(q)
         beam *= 2
-    return [np.flatnonzero(row >= least) for s in range(0, len(q), _CHUNK) for row in q[s : s + _CHUNK] @ world.x.T]
+    for s in range(at, len(q), _CHUNK):
+        scan(order[s : s + _CHUNK])
+    return [true[k] for k in range(len(q))]
 
 
 def _root(label: dict, x: int) -> int:
@@ -208,7 +226,8 @@ def link(df: DataFrame, least: float = COSINE) -> DataFrame:
             world, names, copies = pickle.loads(right["world"].iloc[0])
             left = left.sort_values("node")
             own, x = left["node"].to_numpy(), _matrix(left["v"])
-            found = audited_links(world, x / np.linalg.norm(x, axis=1, keepdims=True), least)
+            at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            found = audited_links(world, x / np.linalg.norm(x, axis=1, keepdims=True), least, np.where(names[at] == own, at, -1))
             label: dict[int, int] = {}
             for me, hits in zip(own.tolist(), found, strict=True):
                 hits = hits[names[hits] != me]

@@ -98,3 +98,22 @@ def test_beam_search_finds_neighbours():
     world = embedding_dedup.SmallWorld(x)
     ids, _ = world._beam(x[:200], np.full(200, world.entry), 0, 64)
     assert (ids[:, 0] == np.arange(200)).mean() > 0.97
+
+
+def test_audit_asks_queries_that_have_links(monkeypatch):
+    x = np.random.default_rng(8).normal(size=(2000, 16))
+    # Every 15th query was asked before; none of these is one.
+    x[2::150] = x[1::150] + 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    world = embedding_dedup.SmallWorld(x)
+    true = [np.flatnonzero(row >= 0.98) for row in x @ x.T]
+
+    def own_only(self, q, beam, least):
+        """A search that finds a query itself and nothing else."""
+        return [np.flatnonzero(self.x @ v > 1 - 1e-9) for v in q]
+
+    monkeypatch.setattr(embedding_dedup.SmallWorld, "within", own_only)
+    for audit in (4, 128):
+        monkeypatch.setattr(embedding_dedup, "AUDIT", audit)
+        found = embedding_dedup.audited_links(world, x, 0.98, np.arange(len(x)))
+        assert all(np.array_equal(a, b) for a, b in zip(found, true, strict=True)), audit
