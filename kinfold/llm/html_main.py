@@ -3,7 +3,8 @@
 All pages of a host are merged: a node of the site tree is a path of tags and classes. A node's importance is the
 larger of its presentation entropy (how varied its children are from page to page) and its content entropy (how
 varied the text of its branch is); marks in the page itself come first: navigation, footers, asides, forms, adverts,
-notices and comments have none, an article or main element and what holds it has all.
+notices and comments have none, an article or main element and what holds it has all. What lies in an article is
+judged by its entropies, as on pages without one.
 """
 
 from __future__ import annotations
@@ -176,19 +177,18 @@ class Page:
         return out
 
     def importance_floor(self, k: int) -> float | None:
-        """1 for landmarks and what holds or lies in them, 0 for marked branches, None where the site decides."""
-        path = self.path(k)
-        for x in path:
-            node = self.nodes[x]
-            if node.landmark:
-                return 1.0 if not any(self.nodes[y].dull and not self.nodes[y].holds_landmark for y in path) else 0.0
-            if node.dull and not node.holds_landmark:
-                return 0.0
-        return 1.0 if self.nodes[k].holds_landmark else None
+        """0 for marked branches, 1 for landmarks and what holds them, None where the site decides: also inside landmarks."""
+        if any(self.nodes[x].dull and not self.nodes[x].holds_landmark for x in self.path(k)):
+            return 0.0
+        return 1.0 if self.nodes[k].landmark or self.nodes[k].holds_landmark else None
 
 
 def signatures(source: str | None) -> list[tuple[int, int, int, int]]:
-    """``(node, kind, signature, importance said by the page or -1)`` once per node of the page: kind 0 presentation, 1 content."""
+    """``(node, kind, signature, said)`` once per node of the page: kind 0 presentation, 1 content.
+
+    ``said`` is 2 where the page says important, 0 where it says no content, 1 where the site decides; the largest
+    of a node's elements counts, so that one marked element does not rule out a site's node.
+    """
     page = Page(source)
     shape: dict[int, xxhash.xxh64] = {}
     words: dict[int, xxhash.xxh64] = {}
@@ -197,7 +197,7 @@ def signatures(source: str | None) -> list[tuple[int, int, int, int]]:
         runs = [c for j, c in enumerate(node.children) if not j or c != node.children[j - 1]]
         shape.setdefault(node.key, xxhash.xxh64(seed=1)).update(f"{len(node.children)}:{','.join(runs)};")
         floor = page.importance_floor(k)
-        said[node.key] = max(said.get(node.key, -1), -1 if floor is None else int(floor))
+        said[node.key] = max(said.get(node.key, 0), 1 if floor is None else 2 * int(floor))
     for k, text in page.blocks:
         for x in page.path(k):
             words.setdefault(page.nodes[x].key, xxhash.xxh64(seed=2)).update(text)
@@ -210,18 +210,21 @@ def main_text(source: str | None, low: list[int] | None) -> str:
 
     A branch goes if the page marks it as no content or ``low`` (the site's low-importance nodes) lists it. If the
     page has an article or main element, only blocks in the innermost such elements count. If the site's nodes
-    would take every block, the site has said nothing about this page and they take none.
+    would take every block, or more than half of the text of an article or main element, the site has said nothing
+    about this page and they take none.
     """
     page = Page(source)
     blocks = [(k, t) for k, t in page.blocks if page.importance_floor(k) != 0.0]
     inside = [(k, t, [x for x in page.path(k) if page.nodes[x].landmark]) for k, t in blocks]
-    if any(marks for _, _, marks in inside):
+    found = any(marks for _, _, marks in inside)
+    if found:
         articles = any(page.nodes[x].tag == "article" for _, _, marks in inside for x in marks)
-        chosen = [t for _, t, marks in inside if (any(page.nodes[x].tag == "article" for x in marks) if articles else marks)]
-        return "\n\n".join(chosen)
+        blocks = [(k, t) for k, t, marks in inside if (any(page.nodes[x].tag == "article" for x in marks) if articles else marks)]
     gone = set(low or ())
     kept = [t for k, t in blocks if not any(page.nodes[x].key in gone for x in page.path(k))]
-    return "\n\n".join(kept or [t for _, t in blocks])
+    if not kept or (found and 2 * sum(map(len, kept)) < sum(len(t) for _, t in blocks)):
+        kept = [t for _, t in blocks]
+    return "\n\n".join(kept)
 
 
 def host_of(url: str) -> F.Column:
@@ -249,7 +252,7 @@ def site_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataF
     both = sums.withColumn("entropy", spread).groupBy("host", "node").agg(
         F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("presentation"), F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content"), F.max("said").alias("said")
     )
-    importance = F.when(F.col("said") >= 0, F.col("said").cast("double")).otherwise(F.greatest("presentation", "content"))
+    importance = F.when(F.col("said") != 1, F.col("said") / 2.0).otherwise(F.greatest("presentation", "content"))
     return both.select("host", "node", "pages", "presentation", "content", importance.alias("importance"))
 
 

@@ -55,3 +55,13 @@ def test_rows_are_kept(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(((r.page_id, r.n_chars) for r in got.collect()), key=str) == sorted([(1, 1), (None, 0), (2, 0), (2, 0), (3, 50_013)], key=str)
     assert S.extract(pages(spark, [])).count() == 0
+
+
+def test_what_a_site_repeats_in_articles_is_removed(spark):
+    story = lambda k: f"<body><article><h1>Head {k}</h1><p>Story number {k} tells of {k * k} and of much more besides</p><div class='box'>Write to us</div></article></body>"
+    rows = [(k, f"http://site.org/{k}", story(k)) for k in range(12)] + [(50 + k, f"http://copy.org/{k}", story(1)) for k in range(12)]
+    # One element marked by its id does not take its namesakes along.
+    rows[0] = (0, "http://site.org/0", story(0).replace("<p>", "<p id='ad'>x</p><p>"))
+    got = {r.page_id: r.text for r in S.extract(pages(spark, rows)).collect()}
+    assert all(got[k] == f"Head {k}\n\nStory number {k} tells of {k * k} and of much more besides" for k in range(12))
+    assert got[50].startswith("Head 1\n\nStory number 1 ")
