@@ -71,6 +71,10 @@ class Node:
     dull: bool
     wraps: bool
     landmark: bool
+    #: Key of the outermost marked element that a main element is or lies in, if nothing but marks speaks against it.
+    doubt: int | None = None
+    #: Marked by more than its class, id and role.
+    firm: bool = False
     holds_landmark: bool = False
     children: list[str] = field(default_factory=list)
     words: xxhash.xxh64 | None = None
@@ -95,10 +99,32 @@ class Page:
         self._block_at = 0
         self._read(source or "")
         self._flush()
+        self._settle()
         for node in self.nodes[:0:-1]:
             if node.landmark or node.holds_landmark:
                 self.nodes[node.parent].holds_landmark = True
 
+    def _settle(self) -> None:
+        """Make main elements with marks landmarks too, if one of them holds more text than all landmarks without."""
+        doubtful = {k for k, node in enumerate(self.nodes) if node.doubt is not None}
+        if not doubtful:
+            return
+        sure, held = 0, dict.fromkeys(doubtful, 0)
+        for k, text in self.blocks:
+            for x in self.path(k):
+                node = self.nodes[x]
+                if x in doubtful:
+                    held[x] += len(text)
+                if node.landmark:
+                    sure += len(text)
+                if node.landmark or node.dull:
+                    break
+        best = max(doubtful, key=lambda k: (held[k], -k))
+        if held[best] > sure:
+            for k in doubtful:
+                if self.nodes[k].doubt == self.nodes[best].doubt:
+                    self.nodes[k].landmark, self.nodes[k].dull = True, False
+
     def _flush(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self._text))).strip()
         if text:
@@ -119,10 +145,17 @@ class Page:
         hidden = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
         main = tag in ("article", "main") or attrs.get("role") in ("main", "article") or attrs.get("itemprop") == "articleBody"
         above = [self.nodes[k] for k in self._open]
-        dull = hidden or tag in BOILERPLATE or bool(marks & MARKS) or (tag == "header" and not any(x.landmark for x in above))
+        by_tag = hidden or tag in BOILERPLATE or (tag == "header" and not any(x.landmark or x.doubt is not None for x in above))
+        # Marks on the page itself say nothing of a part of it.
+        dull = by_tag or (tag not in ("html", "body") and bool(marks & MARKS))
         wraps = dull and not hidden and tag in ("form", "div", "section", "body", "html") and (marks & MARKS) <= LAYOUT
         landmark = main and not dull and all(not x.dull or x.wraps for x in above)
-        self.nodes.append(Node(tag, parent, xxhash.xxh64_intdigest(f"{self.nodes[parent].key}/{shown}") >> 1, dull, wraps, landmark))
+        key = xxhash.xxh64_intdigest(f"{self.nodes[parent].key}/{shown}") >> 1
+        node = Node(tag, parent, key, dull, wraps, landmark)
+        node.firm = hidden or (by_tag and tag != "form")
+        if main and not landmark and not node.firm and not any(x.firm for x in above):
+            node.doubt = next((x.key for x in above if x.dull and not x.wraps), key)
+        self.nodes.append(node)
         self.nodes[parent].children.append(shown)
         self._open.append(len(self.nodes) - 1)
 
@@ -209,7 +242,8 @@ def main_text(source: str | None, low: list[int] | None) -> str:
     """The page's blocks outside removed branches, joined by a blank line.
 
     A branch goes if the page marks it as no content or ``low`` (the site's low-importance nodes) lists it. If the
-    page has an article or main element, only blocks in the innermost such elements count. If the site's nodes
+    page has an article or main element, only blocks in such elements count: those in articles if they hold half of
+    the text or more. If the site's nodes
     would take every block, or more than half of the text of an article or main element, the site has said nothing
     about this page and they take none.
     """
@@ -218,8 +252,10 @@ def main_text(source: str | None, low: list[int] | None) -> str:
     inside = [(k, t, [x for x in page.path(k) if page.nodes[x].landmark]) for k, t in blocks]
     found = any(marks for _, _, marks in inside)
     if found:
-        articles = any(page.nodes[x].tag == "article" for _, _, marks in inside for x in marks)
-        blocks = [(k, t) for k, t, marks in inside if (any(page.nodes[x].tag == "article" for x in marks) if articles else marks)]
+        blocks = [(k, t) for k, t, marks in inside if marks]
+        articles = [(k, t) for k, t, marks in inside if any(page.nodes[x].tag == "article" for x in marks)]
+        if 2 * sum(len(t) for _, t in articles) >= sum(len(t) for _, t in blocks):
+            blocks = articles
     gone = set(low or ())
     kept = [t for k, t in blocks if not any(page.nodes[x].key in gone for x in page.path(k))]
     if not kept or (found and 2 * sum(map(len, kept)) < sum(len(t) for _, t in blocks)):

@@ -65,3 +65,18 @@ def test_what_a_site_repeats_in_articles_is_removed(spark):
     got = {r.page_id: r.text for r in S.extract(pages(spark, rows)).collect()}
     assert all(got[k] == f"Head {k}\n\nStory number {k} tells of {k * k} and of much more besides" for k in range(12))
     assert got[50].startswith("Head 1\n\nStory number 1 ")
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body class='ad-free'><article><p>Long text here<p>more of it</article></body>", "Long text here\n\nmore of it"), ("<body class='ad-free'><p>No article", "No article"),
+        ("<div class='page comments-open'><nav>n</nav><article><header>h</header><p>Long text</article></div>", "h\n\nLong text"), ("<article class='post social-share'><p>Long text<div class='ad'>Buy</div></article>", "Long text"),
+        ("<div class='related'><article>teaser</article></div><article class='post ad-free'>The long text of the page</article>", "The long text of the page"), ("<article>The long text</article><div class='related'><article>teaser</article></div>", "The long text"),
+        ("<main><p>All the text of the page is here<article>teaser</article></main>", "All the text of the page is here\n\nteaser"), ("<main><p>top<article>All the text of the page</article></main>", "All the text of the page"),
+        ("<main><article class='post social-share'>The long text</article><p>foot</main>", "The long text"), ("<div role='main' class='header'>x</div>", "x"),
+        ("<aside><article>not this</article></aside><p>x", "x"),
+    ],
+)
+def test_marks_do_not_take_the_article(source, want):
+    assert S.main_text(source, None) == want
