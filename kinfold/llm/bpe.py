@@ -15,12 +15,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import text_udf
+from kinfold.llm.common import stash_texts, whole_row
 
 #: Pieces up to this many bytes are merged many at a time; longer ones alone.
 WIDE = 64
-#: Encoded pieces that a worker remembers, at most.
+#: Encoded pieces that a worker remembers, at most, and their characters: beyond either it starts anew before the next texts.
 REMEMBERED = 250_000
+REMEMBERED_CHARS = 4_000_000
 NO_PAIR = 1 << 60
 
 
@@ -193,11 +194,13 @@ class _Known(dict):
     def __init__(self) -> None:
         super().__init__()
         self.new: list[tuple[str, list[int]]] = []
+        self.chars = 0
 
     def __missing__(self, piece: str) -> list[int]:
         ids: list[int] = []
         self[piece] = ids
         self.new.append((piece, ids))
+        self.chars += len(piece)
         return ids
 
 
@@ -211,7 +214,7 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text: every match of the pattern that is a token is that token, any other is merged from bytes."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.chars > REMEMBERED_CHARS:
             self.known = _Known()
         watching = gc.isenabled()
         gc.disable()  # many small lists, none in a cycle
@@ -270,15 +273,16 @@ def _batches(texts: pa.Array, most: int = 1 << 20):
 
 
 def with_token_ids(docs: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` with ``out``: the ids of the whole text (null: of the empty text). The vocabulary file is read on each executor."""
+    """``docs`` with ``out``: the ids of the whole text (null: of the empty text). The vocabulary file is read on each executor; the result is written once."""
     path, pattern = (path, pattern) if path and pattern else _default()
 
-    @text_udf(docs, "array<int>")
     def of(texts: pa.Array) -> pa.Array:
         found = chain.from_iterable(encoder(path, pattern).encode_many(b) for b in _batches(texts))
         return pa.array(list(found), pa.list_(pa.int32()))
 
-    return docs.withColumn(out, of(F.col(text)))
+    ids = F.arrow_udf(of, "array<int>")(F.col(text))
+    found = stash_texts(docs.select(whole_row(docs).alias("row"), ids.alias("found")), "token-ids")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()], F.col("found").alias(out))
 
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -288,7 +292,6 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, patter
     """
     path, pattern = (path, pattern) if path and pattern else _default()
 
-    @text_udf(docs, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def of(texts: pa.Array) -> pa.Array:
         coder = encoder(path, pattern)
         n, ids_hash, text_hash = [], [], []
@@ -299,4 +302,5 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None, patter
                 text_hash.append(hashlib.sha256(coder.decode(ids)).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", of(F.col(text)).alias("_d")).select("doc_id", "_d.*")
+    found = F.arrow_udf(of, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")(F.col(text))
+    return stash_texts(docs.select("doc_id", found.alias("found")), "token-digests").select("doc_id", "found.*")

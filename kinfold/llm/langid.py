@@ -7,17 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import text_udf
+from kinfold.llm.common import stash_texts, whole_row
 
 #: Bytes of context at most; four bytes, context and symbol, fit one code.
 ORDER = 3
 #: Labelled documents that the statistics are taken from, per language, at most.
 SAMPLE_DOCS = 1500
-#: Bytes of one labelled document that count, at most.
-SAMPLE_BYTES = 20_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -147,7 +145,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for name in sorted(set(lang)):
-            parts = [_codes(np.frombuffer(_padded(t)[: SAMPLE_BYTES + ORDER], dtype=np.uint8)) for t, own in zip(text, lang, strict=True) if own == name and t]
+            parts = [_codes(np.frombuffer(_padded(t), dtype=np.uint8)) for t, own in zip(text, lang, strict=True) if own == name and t]
             if parts:
                 code, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.record_batch([pa.array([name] * len(code)), pa.array(code.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
@@ -156,7 +154,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> ContextTrees:
     """Context trees from a bounded sample of ``docs``: per language, the ``sample_docs`` non-empty texts of smallest hash.
 
-    The languages are all non-null values of ``lang``. Copies of a text count once in a language, in its size
+    The languages are all non-null values of ``lang`` that have a text with at least one character; a sampled text
+    counts whole. Copies of a text count once in a language, in its size
     as in the sample: each distinct text has one hash, and a threshold on it, set by the number of the language's
     distinct hashes, thins the rows before they are folded and ranked, so no task ranks more than a small multiple
     of the bound; a language of no more distinct texts than that gives all of them. The driver gets the counts of
@@ -175,11 +174,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_docs:
     return ContextTrees(languages, code, np.array([place[x] for x in names], dtype=np.int64), n)
 
 
-def with_language(docs: DataFrame, trees: ContextTrees, text: str = "text", out: str = "_language") -> DataFrame:
-    """``docs`` with the struct ``out(lang_pred, score)`` from their whole texts; the trees are broadcast, bounded by the sample."""
+def language_of(trees: ContextTrees, docs: DataFrame, text: str = "text") -> Column:
+    """The struct ``(lang_pred, score)`` of a whole text; the trees are broadcast, bounded by the sample. Write it once with :func:`stash_texts`."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
-    @text_udf(docs, "struct<lang_pred: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
         name, score = [], []
         for at in range(0, len(texts), 256):
@@ -188,18 +186,18 @@ def with_language(docs: DataFrame, trees: ContextTrees, text: str = "text", out:
             score += b
         return pa.StructArray.from_arrays([pa.array(name, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn(out, of(F.col(text)))
+    return F.arrow_udf(of, "struct<lang_pred: string, score: double>")(F.col(text))
 
 
 def predict_language(docs: DataFrame) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` per document, learned from the rows that are not held out."""
     trees = train(docs.where(~held_out()))
-    scored = with_language(docs.select("doc_id", held_out().alias("held_out"), "text"), trees)
-    return scored.select("doc_id", "held_out", "_language.lang_pred", "_language.score")
+    found = stash_texts(docs.select("doc_id", held_out().alias("held_out"), language_of(trees, docs).alias("found")), "languages")
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def reject_unknown(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is recognised: not ``und``, and a score of ``least`` or more."""
     trees = train(docs.where(~held_out()))
-    scored = with_language(docs, trees)
-    return scored.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).select(*docs.columns)
+    found = stash_texts(docs.select(whole_row(docs).alias("row"), language_of(trees, docs).alias("found")), "languages")
+    return found.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)).select("row.*")

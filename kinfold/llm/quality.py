@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import text_udf
+from kinfold.llm.common import stash_texts
 from kinfold.llm.langid import held_out
 
 #: Labelled documents to learn from, at most: those of smallest hash of doc_id.
@@ -133,24 +133,20 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.base + self.value[at].sum(axis=1))))
 
 
-def with_statistics(docs: DataFrame, text: str = "text", out: str = "stats") -> DataFrame:
-    @text_udf(docs, "array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
-
-    return docs.withColumn(out, of(F.col(text)))
+def _statistics(texts: pa.Array) -> pa.Array:
+    return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> BoostedTrees:
     """Trees from at most ``sample_rows`` labelled documents that are not held out, those of smallest hash of doc_id.
 
-    A document with several labels counts by their mean, 1 from 0.5 on; null labels and ids don't count. Only
-    the sample's statistics reach the driver.
+    A document with several labels counts by their mean, 1 from 0.5 on; null labels and ids don't count. Of several
+    texts under one id the first in order counts. Only the sample's statistics reach the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    got = with_statistics(rows).select("doc_id", "stats", "y").toPandas().sort_values("doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = stash_texts(rows.select("doc_id", "y", F.arrow_udf(_statistics, "array<double>")("text").alias("stats")), "quality-sample").toPandas().sort_values("doc_id")
     x = np.array(got["stats"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     return BoostedTrees().fit(x, got["y"].to_numpy(dtype=np.float64))
 
@@ -159,7 +155,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``; null and empty texts are scored by their zero statistics."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
-    @text_udf(docs, "double")
     def of(texts: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
         for at in range(0, len(texts), 512):
@@ -167,5 +162,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
             out.append(model.value.score(part))
         return pa.array(np.concatenate(out))
 
-    scored = docs.select("doc_id", held_out().alias("held_out"), of("text").alias("score"))
+    scored = stash_texts(docs.select("doc_id", held_out().alias("held_out"), F.arrow_udf(of, "double")("text").alias("score")), "quality-scores")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -48,11 +48,16 @@ def test_memory_is_bounded(monkeypatch):
     for k in range(30):
         encoder.encode_many([f"word{k} again{k}"])
     assert len(encoder.known) < 30
+    monkeypatch.setattr(bpe, "REMEMBERED", 10_000)
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 500)
+    for k in range(30):
+        encoder.encode_many([f"{'long' * 30}{k}"])
+    assert encoder.known.chars < 1000
 
 
 def test_digests(spark, library):
     rows = [(k, t) for k, t in enumerate(odd_texts())] + [(100, None), (None, "x y"), (3, "x y"), (3, "x y")]
-    df = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, n_tokens int, _d string")
+    df = spark.createDataFrame([(i, t, 9, "z") for i, t in rows], "doc_id long, text string, n_tokens int, found string")
     got = sorted(map(tuple, bpe.digests(df).collect()), key=str)
     want = []
     for i, t in rows:
@@ -60,4 +65,4 @@ def test_digests(spark, library):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.digests(df.limit(0)).count() == 0
-    assert bpe.with_token_ids(df.where("doc_id = 100")).first().ids == []
+    assert bpe.with_token_ids(df.where("doc_id = 100")).first().ids == [] and bpe.with_token_ids(df).columns == [*df.columns, "ids"]

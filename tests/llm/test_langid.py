@@ -9,11 +9,11 @@ from kinfold.llm import langid as S
 EN = ["the cat and the dog sat on the mat while it rained", "there is nothing that we would like more than this", "some other words of the same kind were written down"]
 FR = ["le chat et le chien sont sur la table pendant la pluie", "il y a des choses que nous aimons plus que les autres", "quelques mots de la même sorte sont écrits ici"]
 ROWS = [(k, EN[k % 3] + f" {k}", "en", "s", 1.0) for k in range(40)] + [(100 + k, FR[k % 3] + f" {k}", "fr", "s", 1.0) for k in range(40)]
-SCHEMA = "doc_id long, text string, lang string, lang_pred string, score double"
+SCHEMA = "doc_id long, text string, lang string, lang_pred string, score double, row int, found string, _language int"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(*r, 1, "f", 2) for r in rows], SCHEMA)
 
 
 def test_tables_hold_the_code_lengths_of_the_trees(spark):
@@ -66,7 +66,7 @@ def test_predictions(spark):
 def test_stage_drops_only_unknown(spark):
     rows = [*ROWS, (501, None, "en", "keep", 7.0), (502, "123", None, "keep", 7.0)]
     out = S.reject_unknown(docs(spark, rows))
-    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score"] and out.count() == len(ROWS) and out.where("score = 1.0").count() == len(ROWS)
+    assert out.columns == docs(spark, []).columns and out.count() == len(ROWS) and out.where("score = 1.0").count() == len(ROWS)
 
 
 def test_nothing_to_learn_from(spark):
@@ -91,3 +91,11 @@ def test_copies_count_once_and_drop_no_language(spark):
     # 20 places hold all distinct texts, each once.
     for k in range(2):
         assert all(np.array_equal(x, y) for a, b in zip(trees.nodes[k], few.nodes[k], strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_a_training_text_counts_whole(spark):
+    """What only the end of a very long text holds is learned."""
+    rows = [(k, "aa bb " * 20_000 + f"qzqz wxwx {k} " * 50, "xx", None, None) for k in (0, 1, 4)] + [(10 + k, f"mm nn oo {k}", "yy", None, None) for k in range(8)]
+    trees = S.train(docs(spark, rows))
+    code = S._codes(np.frombuffer(S._padded("qzqz wxwx"), np.uint8))
+    assert np.isin(code[3:], trees.nodes[0][S.ORDER][0]).all()
