@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import components, stash, text_udf
+from kinfold.llm.common import components, row_keys, stash, stash_texts, whole_row
 
 RADIUS = 3
 SHINGLE = 3
@@ -45,15 +45,13 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` plus ``out``: the fingerprint as a signed long."""
-    keep = ["doc_id"] if keep is None else keep
+def _fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
 
-    @text_udf(docs, "long")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(*[F.col(c) for c in keep], of(F.col(text)).alias(out))
+def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, none, id, th, fp)`` per row of ``docs``, written once: what names the row (see :func:`row_keys`) and its fingerprint as a signed long."""
+    return stash_texts(docs.select("doc_id", *row_keys(text), F.arrow_udf(_fingerprints, "long")(F.col(text)).alias("fp")), "simhash-rows")
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -205,20 +203,19 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS, small_bucket: int =
 
 
 def simhash_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rows, classes)``: ``rows(doc_id, fp)`` for each document, ``classes(fp, root, component_id, keeper)`` for each distinct fingerprint.
+    """``(rows, classes)``: :func:`fingerprints` of the documents, and ``classes(fp, component_id, keeper)`` for each distinct fingerprint.
 
     Copies are folded to their distinct fingerprint before any table is built, so a group of copies costs one
     row. Null texts count as texts without words (fingerprint 0). ``component_id`` is the smallest non-null
     doc_id of the class, null if it has none; ``keeper`` marks the one fingerprint whose row is kept.
     """
-    rows = stash(fingerprints(docs), "simhash-rows")
+    rows = fingerprints(docs)
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     count = rows.count()
     roots = components(link_fingerprints(nodes.select("fp"), files=1 + count // 200_000), count)
     of = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     best = of.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))).getField("fp").alias("best"))
-    classes = of.join(best, "root").select("fp", "root", "component_id", (F.col("fp") == F.col("best")).alias("keeper"))
-    return rows, classes
+    return rows, of.join(best, "root").select("fp", "component_id", (F.col("fp") == F.col("best")).alias("keeper"))
 
 
 def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,13 +225,16 @@ def simhash_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document of each SimHash class: that of the smallest doc_id (of repeated rows one).
+    """The rows of ``docs`` with one document of each SimHash class: that of the smallest doc_id (of its texts the one of smallest hash, of equal rows one).
 
     Documents without words would all fall into one class by their zero fingerprint; that class keeps one as well.
+    Texts are fingerprinted once; whole rows meet only the names of the documents to keep, and are told apart only
+    if the table holds rows equal in id and text.
     """
-    _, classes = simhash_classes(docs)
-    chosen = classes.where("keeper").select(F.col("fp").alias("_fp"), F.col("component_id").alias("_id"))
-    own = docs.columns
-    tagged = fingerprints(docs, out="_fp", keep=own)
-    kept = tagged.join(chosen, (tagged["_fp"] == chosen["_fp"]) & tagged["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates(["_fp", "doc_id"]).select(*own)
+    rows, classes = simhash_classes(docs)
+    keepers = classes.where("keeper").select("fp", "component_id")
+    chosen = rows.join(keepers, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp").agg(F.min(F.struct("none", "id", "th")).alias("k")).select("k.*")
+    kept = docs.select(whole_row(docs).alias("row"), *row_keys()).join(chosen, ["none", "id", "th"], "left_semi")
+    if not rows.groupBy("none", "id", "th").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["none", "id", "th"])
+    return kept.select("row.*")

@@ -4,7 +4,7 @@ import xxhash
 
 from kinfold.llm import simhash as S
 
-SCHEMA = "doc_id long, text string, fp string, root int, lang string"
+SCHEMA = "doc_id long, text string, fp string, root int, lang string, row int, none int, id int, th int, _fp int, keeper int, component_id int"
 
 
 def by_definition(text):
@@ -31,7 +31,7 @@ def components(ids, near):
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "x", 1, "en") for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "x", 1, "en", *range(7)) for i, t in rows], SCHEMA)
 
 
 BASE = " ".join(f"word{k % 37} item{k % 53}" for k in range(400))
@@ -63,7 +63,7 @@ def test_matches_brute_force(spark):
 
 def test_keeps_one_of_each_class(spark):
     kept = S.keep_one_of_each(docs(spark, ROWS))
-    assert kept.columns == ["doc_id", "text", "fp", "root", "lang"]
+    assert kept.columns == docs(spark, []).columns and {tuple(r)[2:] for r in kept.collect()} == {("x", 1, "en", *range(7))}
     got = [r.doc_id for r in kept.collect()]
     classes = {r.component_id for r in S.simhash_near_duplicates(docs(spark, ROWS)).collect()}
     assert sorted(got) == sorted(classes) and len(set(got)) == len(got)
