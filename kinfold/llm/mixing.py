@@ -6,10 +6,10 @@ takes from; a slot's rank among its source's slots says which of the source's sh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import WORD, stash
+from kinfold.llm.common import WORD, stash, whole_row
 
 #: Words in a block, at most; a smaller corpus gets smaller blocks, so that a schedule has ``LEAST_SLOTS`` slots.
 BLOCK = 1024
@@ -18,17 +18,21 @@ LEAST_SLOTS = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken so many times at most.
 EPOCHS = 3
-#: Rows are ranked in pieces of about so many, never a whole source in one task.
-PIECE = 100_000
+#: Rows, and slots, are ranked in pieces of about so many, never a whole source in one task.
+PIECE = 8192
 #: Cells of the unit interval for looking up a point's source.
 CELLS = 4096
 GOLDEN = 0.6180339887498949
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_size``, the words of the text (null: 0), and ``_mark``, its place in the shuffle."""
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("_size", words).withColumn("_mark", F.xxhash64(F.col("doc_id"), F.col(text)))
+def size_of(text: str = "text") -> Column:
+    """The words of a text; a null text has none."""
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mark_of(text: str = "text") -> Column:
+    """A document's place in the shuffle."""
+    return F.xxhash64(F.col("doc_id"), F.col(text))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -83,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     Rows equal in id and text are told apart by their place alone. Places are running sums over pieces of the
     hash range, so a source with a third of all rows is not ranked in one task.
     """
-    rows = stash(sized(docs).select("doc_id", F.col("source").cast("string").alias("source"), F.col("_mark").alias("mark"), F.col("_size").alias("size")), "mix-rows")
+    rows = stash(docs.select("doc_id", F.col("source").cast("string").alias("source"), mark_of().alias("mark"), size_of().alias("size")), "mix-rows")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     first = rows.agg(F.sum("size"), F.count("*")).first()
     words, count = int(first[0] or 0), int(first[1])
@@ -105,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
     # The last rank may pass epochs * blocks by the sequence's discrepancy; such slots take nothing.
     taken = taken.join(plan.select("source_no", "blocks"), "source_no").where(F.col("rank") < epochs * F.col("blocks"))
     taken = taken.groupBy("source_no", F.expr("rank % blocks").alias("block")).agg(F.count("*").alias("times"))
-    pieces = max(1, count // PIECE * 4)
+    pieces = max(1, -(-count // PIECE))
     named = rows.join(plan.select(F.col("source").alias("_source"), "source_no", "source_size", "target", "blocks"), F.col("source").eqNullSafe(F.col("_source")))
     # A share of the unsigned hash range, rising with the hash.
     named = named.withColumn("piece", F.floor((F.col("mark").cast("double") / 2.0**64 + 0.5) * pieces).cast("long"))
@@ -129,14 +133,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: int = EPO
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: each as many times as its taken words go into its size, rounded half up.
 
-    Documents without words take no part in a mix by words; they stay, once.
+    Documents without words take no part in a mix by words; they stay, once. Rows equal in id and text share what
+    they are taken together.
     """
-    own = docs.columns
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
-    share = mix(docs).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_own"), times.cast("int").alias("_times"))
-    # Rows equal in id and text share one entry, so that the join does not multiply them.
-    share = share.groupBy("_id", "_own").agg(F.array_sort(F.collect_list("_times")).alias("_all"), F.count("*").alias("_n"), F.sum("_times").alias("_sum"))
-    marked = sized(docs)
-    joined = marked.join(share, marked["doc_id"].eqNullSafe(share["_id"]) & (marked["_mark"] == share["_own"]))
-    each = joined.withColumn("_k", F.when(F.col("_n") == 1, F.col("_sum")).otherwise(F.round(F.col("_sum") / F.col("_n"))).cast("int")).where("_k > 0")
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).select(*own)
+    # Such rows share one entry, so that the join does not multiply them.
+    share = mix(docs).groupBy("doc_id", "mark").agg(F.sum(times).alias("sum"), F.count("*").alias("n")).toDF("of_id", "of_mark", "sum", "n")
+    marked = docs.select(whole_row(docs).alias("row"), "doc_id", mark_of().alias("mark"))
+    joined = marked.join(share, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    each = joined.select("row", F.round(F.col("sum") / F.col("n")).cast("int").alias("k")).where("k > 0")
+    return each.select("row", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy")).select("row.*")

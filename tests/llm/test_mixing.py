@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import mixing as S
 
-SCHEMA = "doc_id long, text string, source string, size string, taken int, block int"
+SCHEMA = "doc_id long, text string, source string, size string, taken int, block int, row int, mark int, of_id int, of_mark int, sum int, n int, k int, copy int, source_no int, _size int, _mark int, _id int, _own int"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, s, "x", 1, 2) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, s, "x", *range(15)) for i, t, s in rows], SCHEMA)
 
 
 def shares(sizes):
@@ -86,7 +86,7 @@ def test_blocks_by_brute_force(spark):
     """Documents laid out by hand, blocks cut by hand, the schedule run by hand."""
     rows = rows_of(200)
     df = docs(spark, rows)
-    marks = {r.doc_id: r._mark for r in S.sized(df).collect()}
+    marks = {r.doc_id: r.mark for r in df.select("doc_id", S.mark_of().alias("mark")).collect()}
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(t.split())
@@ -118,7 +118,7 @@ def test_blocks_by_brute_force(spark):
 def test_stage(spark):
     rows = [*rows_of(300), (900, None, "s1")]
     out = S.mixed_documents(docs(spark, rows))
-    assert out.columns == ["doc_id", "text", "source", "size", "taken", "block"]
+    assert out.columns == docs(spark, []).columns and {tuple(r)[3:] for r in out.collect()} == {("x", *range(15))}
     words = {r.source: r.w for r in out.groupBy("source").agg(F.sum(F.size(F.filter(F.split("text", " "), lambda x: x != ""))).alias("w")).collect()}
     sizes = Counter()
     for _, t, s in rows:
