@@ -7,27 +7,22 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import stash, text_udf
+from kinfold.llm.common import row_keys, stash, stash_texts, whole_row
 
 #: Sentences in a run.
 RUN = 3
-#: Words that a run has at least; one of ``RUN`` sentences with fewer grows by sentences until it holds them.
-LEAST_WORDS = 8
-#: A run of fewer sentences counts too from this many words on.
-LONG_WORDS = 25
-#: Letters of scripts written without spaces between words; two of them count as a word more.
-_LETTERS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9d\U00020000-\U0003ffff"
-_UNSPACED = re.compile(f"[{_LETTERS}]")
-#: A sentence ends after . ! ? and the like with closing marks, at a line end, before a word that starts with a
-#: capital (a passage pasted into the middle of a sentence starts its own), after the full-width stops, which no
-#: space follows, and at a space within a script that has none between words.
+#: Letters of scripts written without spaces between words.
+_LETTERS = "฀-໿က-႟ក-៿々-〇぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ\U00020000-\U0003ffff"
+#: A sentence ends after . ! ? and the like with closing marks before white space, at a line end, after the full-width
+#: stops, which no space follows, and at a space within a script that has none between words.
 _END = re.compile(
-    r"(?<=[.!?।॥۔؟።])[\"'»”’)\]]*\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я])"
+    r"(?<=[.!?।॥۔؟።…])[\"'»”’)\]]*\s+|\s*\n\s*"
     rf"|(?<=[。！？｡])(?![。！？｡])[\"'»”’)\]」』）】》]*\s*|(?<=[{_LETTERS}])\s+"
 )
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def sentences(text: str) -> tuple[list[int], list[int]]:
@@ -44,109 +39,90 @@ def sentences(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def run_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, first sentence, sentences)`` of every run of a text.
+def run_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(h1, h2, start, until)`` of every run of ``RUN`` sentences, in order; fewer sentences have no run.
 
-    Sentences are compared by their lower-cased words. Each run of ``RUN`` sentences with ``LEAST_WORDS`` words
-    is hashed, each shorter run with ``LONG_WORDS`` words, and each longer run with ``LEAST_WORDS`` words that has
-    fewer without its first or without its last sentence. So any passage of ``RUN`` sentences and ``LEAST_WORDS``
-    words is covered by runs inside it, however short its sentences are.
+    Sentences are compared by their lower-cased words; a run's hash has 128 bits. ``until`` is where the sentence
+    after the run starts, or the text's end.
     """
     starts, ends = sentences(text) if text else ([], [])
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    own, count = [], []
-    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
-    for s, e in zip(starts, ends, strict=True):
-        words = text[s:e].lower().split()
-        own.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
-        count.append(len(words) + (len(_UNSPACED.findall(text[s:e])) // 2 if unspaced else 0))
-    own, words = np.array(own, dtype=np.uint64), np.array(count)
+    n = len(starts) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    digest = xxhash.xxh3_128_digest
+    own = np.frombuffer(b"".join(digest(" ".join(text[s:e].lower().split()).encode("utf-8", "surrogatepass")) for s, e in zip(starts, ends, strict=True)), dtype=np.uint64).reshape(-1, 2)
     out = []
     with np.errstate(over="ignore"):
-        total = words
-        for k in range(1, max(RUN, LEAST_WORDS) + 1):
-            n = len(own) - k + 1
-            if n <= 0 or (k > RUN and (total >= LEAST_WORDS).all()):
-                break
-            shorter, total = total, np.convolve(words, np.ones(k, dtype=words.dtype), "valid")
-            mixed = np.full(n, k, dtype=np.uint64)
-            for j in range(k):
-                mixed = (mixed ^ own[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        for lane, odd in enumerate(_ODD):
+            mixed = np.full(n, RUN, dtype=np.uint64)
+            for j in range(RUN):
+                mixed = (mixed ^ own[j : j + n, lane]) * odd
                 mixed ^= mixed >> np.uint64(29)
-            enough = total >= (LONG_WORDS if k < RUN else LEAST_WORDS)
-            if k > RUN:
-                enough &= (shorter[:-1] < LEAST_WORDS) | (shorter[1:] < LEAST_WORDS)
-            at = np.flatnonzero(enough)
-            out.append((mixed[at].view(np.int64), at.astype(np.int32), np.full(len(at), k, np.int32)))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def cut(text: str | None, runs: list[dict] | None) -> str | None:
-    """``text`` without the sentences of ``runs`` and the white space after each; the rest is unchanged."""
-    if text is None or not runs:
-        return text
-    starts, ends = sentences(text)
-    gone = np.zeros(len(starts), dtype=bool)
-    for r in runs:
-        gone[r["pos"] : r["pos"] + r["k"]] = True
-    out, at = [], 0
-    for k, s in enumerate(starts):
-        until = starts[k + 1] if k + 1 < len(starts) else len(text)
-        if gone[k]:
-            out.append(text[at:s])
-            at = until
-    return "".join([*out, text[at:]]).rstrip() if gone.any() else text
+            out.append(mixed.view(np.int64))
+    after = np.array([*starts, len(text)], dtype=np.int32)
+    return out[0], out[1], after[:n], after[RUN : RUN + n]
+
+
+def _runs(texts: pa.Array) -> pa.Array:
+    found = [run_hashes(t.as_py()) for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    parts = [pa.array(np.concatenate([f[j] for f in found]) if found else [], kind) for j, kind in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["h1", "h2", "start", "until"]))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, runs)``: per document with any, its runs that are not the first of their kind.
+    """``(none, id, th, runs)``: per document with any, its runs ``(pos, start, until)`` that are not the first of their kind, in order.
 
-    ``th`` is the text's hash; rows equal in doc_id and text are one document. First is the smallest doc_id
-    (null last), then the smallest hash, then the earliest sentence; a passage repeated inside one document
-    counts. Each hash is counted and its first place found by partial aggregates before the shuffle, so a run
-    that a third of all documents share is one row per task there; the join back is one that adaptive
-    execution splits.
+    ``id`` is the doc_id as text, ``th`` the text's hash; rows equal in doc_id and text are one document. First is
+    the smallest doc_id (null last), then the smallest hash, then the earliest sentence; a passage repeated inside
+    one document counts. Occurrences are counted by half of a hash in partial aggregates, so a run that a third of
+    all documents share is one row per task there; only runs that occur twice meet again with their places.
     """
-    @text_udf(docs, "array<struct<h: bigint, pos: int, k: int>>")
-    def runs(texts: pa.Array) -> pa.Array:
-        found = [run_hashes(t.as_py()) for t in texts]
-        offsets = np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32)
-        parts = [pa.array(np.concatenate([f[j] for f in found])) if found else pa.array([], (pa.int64(), pa.int32(), pa.int32())[j]) for j in range(3)]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["h", "pos", "k"]))
-
-    found = docs.select("doc_id", F.xxhash64("text").alias("th"), runs("text").alias("rs"))
-    rows = found.select("doc_id", "th", F.explode("rs").alias("r")).select("doc_id", "th", "r.h", "r.pos", "r.k")
-    rows = stash(rows, "spans-runs")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
-    firsts = rows.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
-    later = rows.join(firsts, "h").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "k")).alias("runs"))
+    runs = F.arrow_udf(_runs, "array<struct<h1: bigint, h2: bigint, start: int, until: int>>")
+    found = docs.select("doc_id", *row_keys(), F.posexplode(runs("text")).alias("pos", "r")).select("doc_id", "none", "id", "th", "pos", "r.*")
+    rows = stash_texts(found, "spans-runs")
+    often = rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    twice = stash(rows.join(often, "h1", "left_semi"), "spans-repeated")
+    place = F.struct("none", "doc_id", "th", "pos")
+    firsts = twice.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    later = twice.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("none", "id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "until"))).alias("runs"))
+
+
+def _cut(text: Column, runs: Column) -> Column:
+    """``text`` without the characters of ``runs``, which are in order, and without white space at its end."""
+    until = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(runs, i)["until"])
+    between = F.transform(runs, lambda r, i: F.when(r["start"] > until(i), F.substring(text, until(i) + 1, r["start"] - until(i))).otherwise(F.lit("")))
+    return F.regexp_replace(F.concat(F.concat_ws("", between), F.substring(text, F.element_at(runs, -1)["until"] + 1, F.length(text))), r"(?U)\s+\z", "")
+
+
+def _with_cuts(docs: DataFrame) -> DataFrame:
+    """``(row, kept, removed)``: the caller's row, its text without repeats and how many sentences went; 0 where nothing did."""
+    gone = repeated_runs(docs)
+    marked = docs.select(whole_row(docs).alias("row"), *row_keys())
+    joined = marked.join(gone, ["none", "id", "th"], "left")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["pos"], r["pos"] + (RUN - 1))))))
+    text = F.col("row")["text"]
+    changed = F.col("runs").isNotNull()
+    return joined.select("row", F.when(changed, _cut(text, F.col("runs"))).otherwise(text).alias("kept"), F.when(changed, covered).otherwise(0).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``kept_text``, ``sentences_removed`` and ``changed``; one row per row, texts without repeats as they were.
 
-    Null texts stay null, empty ones empty. A document wholly made of later repeats gets an empty text.
+    Null texts stay null, empty ones empty. A document wholly made of later repeats gets an empty text. Columns of
+    the caller with one of the three names are replaced.
     """
-    own = docs.columns
-
-    @text_udf(docs, "string")
-    def kept(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        return pa.array([cut(t.as_py(), r.as_py()) for t, r in zip(texts, runs, strict=True)], pa.string())
-
-    gone = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("_runs"))
-    marked = docs.withColumn("_own", F.xxhash64("text"))
-    with_runs = marked.join(gone, marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_own"] == gone["_th"]), "left")
-    covered = F.size(F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["pos"], r["pos"] + r["k"] - 1)))))
-    return with_runs.select(*own, kept("text", "_runs").alias("kept_text"), F.when(F.col("_runs").isNull(), 0).otherwise(covered).cast("int").alias("sentences_removed"), F.col("_runs").isNotNull().alias("changed"))
+    own = [c for c in docs.columns if c.lower() not in ("kept_text", "sentences_removed", "changed")]
+    found = _with_cuts(docs)
+    return found.select(*[F.col("row")[c].alias(c) for c in own], F.col("kept").alias("kept_text"), F.col("removed").alias("sentences_removed"), (F.col("removed") > 0).alias("changed"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeats cut out of ``text`` and ``n_chars`` (where present) set anew; documents that lose everything go."""
-    own = docs.columns
-    found = remove_repeats(docs)
-    put = {"text": F.when(F.col("changed"), F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in own:
-        put["n_chars"] = F.when(F.col("changed"), F.length("kept_text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return found.where(~F.col("changed") | (F.length("kept_text") > 0)).select(*[put[c].alias(c) if c in put else F.col(c) for c in own])
+    found, kinds = _with_cuts(docs), dict(docs.dtypes)
+    put = {"text": F.col("kept")}
+    if "n_chars" in kinds:
+        put["n_chars"] = F.when(F.col("removed") > 0, F.length("kept").cast(kinds["n_chars"])).otherwise(F.col("row")["n_chars"])
+    return found.where((F.col("removed") == 0) | (F.length("kept") > 0)).select(*[put.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
