@@ -1,10 +1,10 @@
 """HTML main-text extraction with a site style tree: what a site's pages share in form and words is not content.
 
-All pages of a host are merged: a node of the site tree is a path of tags and classes. A node's importance is the
-larger of its presentation entropy (how varied its children are from page to page) and its content entropy (how
-varied the text of its branch is); marks in the page itself come first: navigation, footers, asides, forms, adverts,
-notices and comments have none, an article or main element and what holds it has all. What lies in an article is
-judged by its entropies, as on pages without one.
+All pages of a host are merged: a node of the site tree is a path of tags and classes. A node's importance is its
+weight times the larger of its presentation entropy (how varied its children are from page to page) and its content
+entropy (how varied the text of its branch is). The weight is what the pages themselves say: little for navigation,
+footers, asides, forms, adverts, notices and comments and for what lies outside the article of a page that has one,
+all for the article, half where nothing is said. Every branch that goes from a page goes by its node's importance.
 """
 
 from __future__ import annotations
@@ -13,17 +13,20 @@ import html
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import text_udf
+from kinfold.llm.common import stash, stash_texts
 
 #: Branches of less importance are removed.
 LEAST_IMPORTANCE = 0.15
-#: Pages of a host that show a node before its entropy counts.
-LEAST_PAGES = 8
+#: Weights of a node: marked as no content, or outside a page's article; nothing said; in an article or main element, or holding it.
+MARKED, PLAIN, CONTENT = 0.1, 0.5, 1.0
+#: An entropy counts with its pages against so many of one that is 1: a node that few pages show is not judged by them.
+PRIOR_PAGES = 1
 #: Elements nested deeper are read as siblings, as browsers do; their text stays.
 DEEPEST = 512
 
@@ -67,6 +70,7 @@ LAYOUT = frozenset("sidebar header nav menu footer navigation hidden overlay mod
 class Node:
     tag: str
     parent: int
+    shown: str
     key: int
     dull: bool
     wraps: bool
@@ -93,7 +97,7 @@ class Page:
     """The elements of a page as a tree, and its text in blocks, from a lenient reading that never fails."""
 
     def __init__(self, source: str | None) -> None:
-        self.nodes = [Node("", -1, 0, False, False, False)]
+        self.nodes = [Node("", -1, "", 0, False, False, False)]
         self.blocks: list[tuple[int, str]] = []
         self._open, self._text = [0], []
         self._block_at = 0
@@ -151,7 +155,7 @@ class Page:
         wraps = dull and not hidden and tag in ("form", "div", "section", "body", "html") and (marks & MARKS) <= LAYOUT
         landmark = main and not dull and all(not x.dull or x.wraps for x in above)
         key = xxhash.xxh64_intdigest(f"{self.nodes[parent].key}/{shown}") >> 1
-        node = Node(tag, parent, key, dull, wraps, landmark)
+        node = Node(tag, parent, shown, key, dull, wraps, landmark)
         node.firm = hidden or (by_tag and tag != "form")
         if main and not landmark and not node.firm and not any(x.firm for x in above):
             node.doubt = next((x.key for x in above if x.dull and not x.wraps), key)
@@ -209,58 +213,82 @@ class Page:
             k = self.nodes[k].parent
         return out
 
-    def importance_floor(self, k: int) -> float | None:
-        """0 for marked branches, 1 for landmarks and what holds them, None where the site decides: also inside landmarks."""
-        if any(self.nodes[x].dull and not self.nodes[x].holds_landmark for x in self.path(k)):
-            return 0.0
-        return 1.0 if self.nodes[k].landmark or self.nodes[k].holds_landmark else None
-
-
-def signatures(source: str | None) -> list[tuple[int, int, int, int]]:
-    """``(node, kind, signature, said)`` once per node of the page: kind 0 presentation, 1 content.
-
-    ``said`` is 2 where the page says important, 0 where it says no content, 1 where the site decides; the largest
-    of a node's elements counts, so that one marked element does not rule out a site's node.
-    """
-    page = Page(source)
-    shape: dict[int, xxhash.xxh64] = {}
-    words: dict[int, xxhash.xxh64] = {}
-    said: dict[int, int] = {}
-    for k, node in enumerate(page.nodes[1:], 1):
-        runs = [c for j, c in enumerate(node.children) if not j or c != node.children[j - 1]]
-        shape.setdefault(node.key, xxhash.xxh64(seed=1)).update(f"{len(node.children)}:{','.join(runs)};")
-        floor = page.importance_floor(k)
-        said[node.key] = max(said.get(node.key, 0), 1 if floor is None else 2 * int(floor))
-    for k, text in page.blocks:
-        for x in page.path(k):
-            words.setdefault(page.nodes[x].key, xxhash.xxh64(seed=2)).update(text)
-    out = [(key, 0, h.intdigest() >> 1, said[key]) for key, h in shape.items()]
-    return out + [(key, 1, words[key].intdigest() >> 1 if key in words else 0, said[key]) for key in shape]
-
-
-def main_text(source: str | None, low: list[int] | None) -> str:
-    """The page's blocks outside removed branches, joined by a blank line.
-
-    A branch goes if the page marks it as no content or ``low`` (the site's low-importance nodes) lists it. If the
-    page has an article or main element, only blocks in such elements count: those in articles if they hold half of
-    the text or more. If the site's nodes
-    would take every block, or more than half of the text of an article or main element, the site has said nothing
-    about this page and they take none.
+    def _content(self) -> set[int]:
+        """The article and main elements that hold the page's text: the articles, if they hold half of it or more."""
+        held: dict[int, int] = {}
+        everywhere = in_articles = 0
+        for k, text in self.blocks:
+            path = self.path(k)
+            if any(self.nodes[x].dull and not self.nodes[x].holds_landmark for x in path):
+                continue
+            marks = [x for x in path if self.nodes[x].landmark]
+            everywhere += len(text) if marks else 0
+            in_articles += len(text) if any(self.nodes[x].tag == "article" for x in marks) else 0
+            held.update((x, 1) for x in marks)
+        return {x for x in held if self.nodes[x].tag == "article"} if held and 2 * in_articles >= everywhere else set(held)
+
+    def merged(self) -> tuple[list[tuple[int, float, int, int]], list[tuple[list[int], str]]]:
+        """The page as its part of the site tree: nodes ``(node, weight, presentation, content)`` and blocks ``(path, text)``.
+
+        Elements of one path of tags, classes and weights are one node; only nodes with text are listed. A block's
+        path holds places in that list. Loose text beside the article in an element that holds it is a node too.
+        """
+        content = self._content()
+        inside, holds = [False] * len(self.nodes), [False] * len(self.nodes)
+        for k in sorted(content):
+            x = self.nodes[k].parent
+            while x >= 0 and not holds[x]:
+                holds[x] = True
+                x = self.nodes[x].parent
+        key, weight = [0] * len(self.nodes), [CONTENT if holds[0] else PLAIN] * len(self.nodes)
+        for k, node in enumerate(self.nodes[1:], 1):
+            inside[k] = k in content or inside[node.parent]
+            if node.dull and not node.holds_landmark:
+                weight[k] = MARKED
+            else:
+                weight[k] = PLAIN if not content else CONTENT if inside[k] or holds[k] else MARKED
+            key[k] = xxhash.xxh64_intdigest(f"{key[node.parent]}/{node.shown}/{weight[k]}") >> 1
+        place: dict[int, int] = {}
+        nodes: list[tuple[int, float]] = []
+        words: list[xxhash.xxh64] = []
+
+        def at(name: int, w: float) -> int:
+            if name not in place:
+                place[name] = len(nodes)
+                nodes.append((name, w))
+                words.append(xxhash.xxh64(seed=2))
+            return place[name]
+
+        blocks = []
+        for k, text in self.blocks:
+            path = list(dict.fromkeys(at(key[x], weight[x]) for x in self.path(k)[::-1]))
+            if content and not inside[k]:
+                path.append(at(xxhash.xxh64_intdigest(f"{key[k]}/#text") >> 1, MARKED))
+            elif not path:
+                path.append(at(1, PLAIN))
+            for x in path:
+                words[x].update(text)
+            blocks.append((path, text))
+        shape = [xxhash.xxh64(seed=1) for _ in nodes]
+        for k, node in enumerate(self.nodes[1:], 1):
+            if key[k] in place:
+                runs = [c for j, c in enumerate(node.children) if not j or c != node.children[j - 1]]
+                shape[place[key[k]]].update(f"{len(node.children)}:{','.join(runs)};")
+        return [(n, w, shape[x].intdigest() >> 1, words[x].intdigest() >> 1) for x, (n, w) in enumerate(nodes)], blocks
+
+
+def main_text(source: str | None, low: set[int] | None = None) -> str:
+    """The page's blocks outside branches of ``low`` nodes, joined by a blank line; by default the page is a site of its own.
+
+    If the site's nodes would take every block, or more than half of the text of an article or main element, the
+    site has said nothing about this page, and only nodes of little weight go.
     """
-    page = Page(source)
-    blocks = [(k, t) for k, t in page.blocks if page.importance_floor(k) != 0.0]
-    inside = [(k, t, [x for x in page.path(k) if page.nodes[x].landmark]) for k, t in blocks]
-    found = any(marks for _, _, marks in inside)
-    if found:
-        blocks = [(k, t) for k, t, marks in inside if marks]
-        articles = [(k, t) for k, t, marks in inside if any(page.nodes[x].tag == "article" for x in marks)]
-        if 2 * sum(len(t) for _, t in articles) >= sum(len(t) for _, t in blocks):
-            blocks = articles
-    gone = set(low or ())
-    kept = [t for k, t in blocks if not any(page.nodes[x].key in gone for x in page.path(k))]
-    if not kept or (found and 2 * sum(map(len, kept)) < sum(len(t) for _, t in blocks)):
-        kept = [t for _, t in blocks]
-    return "\n\n".join(kept)
+    nodes, blocks = Page(source).merged()
+    light = {n for n, w, _, _ in nodes if w < LEAST_IMPORTANCE}
+    left = lambda gone: [t for path, t in blocks if not any(nodes[x][0] in gone for x in path)]
+    kept, sure = left(light if low is None else low), left(light)
+    few = any(w == CONTENT for _, w, _, _ in nodes) and 2 * sum(map(len, kept)) < sum(map(len, sure))
+    return "\n\n".join(kept if kept and not few else sure)
 
 
 def host_of(url: str) -> F.Column:
@@ -268,43 +296,78 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def site_tree(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """``(host, node, pages, presentation, content, importance)``: every host's merged tree.
+_PAGE = "struct<nodes: array<struct<node: bigint, weight: double, shape: bigint, words: bigint>>, blocks: array<struct<path: array<int>, text: string>>>"
+
+
+def _lists(sizes: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+
+
+def _merged(sources: pa.Array) -> pa.Array:
+    pages = [Page(x.as_py()).merged() for x in sources]
+    nodes = [n for ns, _ in pages for n in ns]
+    blocks = [b for _, bs in pages for b in bs]
+    column = lambda j, kind: pa.array([n[j] for n in nodes], kind)
+    node = pa.StructArray.from_arrays([column(0, pa.int64()), column(1, pa.float64()), column(2, pa.int64()), column(3, pa.int64())], ["node", "weight", "shape", "words"])
+    path = _lists([len(p) for p, _ in blocks], pa.array([x for p, _ in blocks for x in p], pa.int32()))
+    block = pa.StructArray.from_arrays([path, pa.array([t for _, t in blocks], pa.string())], ["path", "text"])
+    return pa.StructArray.from_arrays([_lists([len(ns) for ns, _ in pages], node), _lists([len(bs) for _, bs in pages], block)], ["nodes", "blocks"])
+
+
+def parsed(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """``(page_id, url, host, template, nodes, blocks)``: every page read once (see :meth:`Page.merged`), written to the shared folder.
+
+    A page without a host is a site with its copies. Pages of a site that show the same nodes share a template.
+    """
+    own = F.concat(F.lit(":"), F.xxhash64(url, source).cast("string"))
+    host = F.when(F.coalesce(host_of(url), F.lit("")) == "", own).otherwise(host_of(url))
+    found = stash_texts(pages.select("page_id", F.col(url).alias("url"), host.alias("host"), F.arrow_udf(_merged, _PAGE)(F.col(source)).alias("page")), "pages-parsed")
+    template = F.xxhash64("host", F.array_sort(F.transform("page.nodes", lambda n: n["node"])))
+    return found.select("page_id", "url", "host", template.alias("template"), F.col("page.nodes").alias("nodes"), F.col("page.blocks").alias("blocks"))
+
+
+def site_tree(pages: DataFrame) -> DataFrame:
+    """``(host, node, pages, weight, presentation, content, importance)`` of :func:`parsed` pages: every host's merged tree.
 
     Entropies are of the shares of a node's signatures, to the base of its pages, so 0 to 1. Signatures are
     counted by partial aggregates before the shuffle, so a host with a third of all pages is summed in parts.
     """
+    rows = pages.select("host", F.explode("nodes").alias("n")).select("host", "n.node", "n.weight", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n.{c}").alias("sig")) for k, c in enumerate(("shape", "words"))])).alias("x"))
+    counts = rows.groupBy("host", "node", "weight", "x.kind", "x.sig").agg(F.count("*").alias("c"))
+    sums = counts.groupBy("host", "node", "weight", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    spread = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("entropy")))
+    both = sums.withColumn("entropy", spread).groupBy("host", "node", "weight").agg(F.max("m").alias("pages"), of(0).alias("presentation"), of(1).alias("content"))
+    entropy = (F.greatest("presentation", "content") * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
+    return both.select("host", "node", "pages", "weight", "presentation", "content", (F.col("weight") * entropy).alias("importance"))
 
-    @text_udf(pages, "array<struct<node: bigint, kind: int, sig: bigint, said: int>>")
-    def of(sources: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("node", "kind", "sig", "said"), x, strict=True)) for x in signatures(s.as_py())] for s in sources]
-        return pa.array(rows, pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("sig", pa.int64()), ("said", pa.int32())])))
 
-    found = pages.select(host_of(url).alias("host"), F.col(source).alias("source")).where(F.col("host") != "").select("host", of("source").alias("xs"))
-    rows = found.select("host", F.explode("xs").alias("x")).select("host", "x.*")
-    counts = rows.groupBy("host", "node", "kind", "sig").agg(F.count("*").alias("c"), F.max("said").alias("said"))
-    sums = counts.groupBy("host", "node", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"), F.max("said").alias("said"))
-    spread = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
-    both = sums.withColumn("entropy", spread).groupBy("host", "node").agg(
-        F.max("m").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("entropy"))).alias("presentation"), F.max(F.when(F.col("kind") == 1, F.col("entropy"))).alias("content"), F.max("said").alias("said")
-    )
-    importance = F.when(F.col("said") != 1, F.col("said") / 2.0).otherwise(F.greatest("presentation", "content"))
-    return both.select("host", "node", "pages", "presentation", "content", importance.alias("importance"))
+def low_nodes(pages: DataFrame, tree: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """``(template, low)``: for each template with any, its nodes of low importance, as many as a page has at most."""
+    low = tree.where(F.col("importance") < least_importance).select("host", "node")
+    shown = pages.select("template", "host", F.explode("nodes.node").alias("node")).distinct()
+    return shown.join(low, ["host", "node"]).groupBy("template").agg(F.collect_set("node").alias("low"))
 
 
-def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` per row of ``pages(page_id, url, html)``.
+def page_texts(pages: DataFrame, low: DataFrame) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` of :func:`parsed` pages without the branches of ``low(template, low)``, as :func:`main_text` has it."""
+    hits = lambda flags: lambda b: ~F.exists(b["path"], lambda x: F.get(flags, x))
+    size = lambda bs: F.aggregate(bs, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+    gone = F.transform("nodes", lambda n: F.coalesce(F.array_contains("low", n["node"]), F.lit(False)))
+    light = F.transform("nodes", lambda n: n["weight"] < LEAST_IMPORTANCE)
+    flagged = pages.join(low, "template", "left").select("page_id", "url", "nodes", "blocks", gone.alias("gone"), light.alias("light"))
+    both = flagged.select("page_id", "url", F.exists("nodes", lambda n: n["weight"] == CONTENT).alias("found"), F.filter("blocks", hits(F.col("gone"))).alias("kept"), F.filter("blocks", hits(F.col("light"))).alias("sure"))
+    enough = (F.size("kept") > 0) & ~(F.col("found") & (2 * size(F.col("kept")) < size(F.col("sure"))))
+    text = F.concat_ws("\n\n", F.when(enough, F.col("kept.text")).otherwise(F.col("sure.text")))
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
-    Null or empty html gives empty text. Pages without a host have no site; nodes that fewer than
-    ``least_pages`` pages show count as important. The list of removed nodes of a host goes to its pages by a
-    join on the host, which adaptive execution splits for a hot one.
-    """
-    low = site_tree(pages).where((F.col("importance") < least_importance) & (F.col("pages") >= least_pages))
-    low = low.groupBy(F.col("host").alias("_host")).agg(F.array_sort(F.collect_set("node")).alias("_low"))
 
-    @text_udf(pages, "string")
-    def of(sources: pa.Array, nodes: pa.Array) -> pa.Array:
-        return pa.array([main_text(s.as_py(), n.as_py()) for s, n in zip(sources, nodes, strict=True)], pa.string())
+def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """``(page_id, url, text, n_chars)`` per row of ``pages(page_id, url, html)``.
 
-    joined = pages.select("page_id", "url", "html", host_of("url").alias("_h")).join(low, F.col("_h") == F.col("_host"), "left")
-    return joined.select("page_id", "url", of("html", "_low").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    Null or empty html gives empty text. Each page is parsed once; its site's nodes of low importance reach it by
+    its template, in a table of its own: small ones are broadcast by their size, else the join is on the template,
+    which adaptive execution splits for a hot one.
+    """
+    read = parsed(pages)
+    return page_texts(read, stash(low_nodes(read, site_tree(read), least_importance), "pages-low"))

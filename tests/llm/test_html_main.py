@@ -1,3 +1,7 @@
+import math
+from collections import Counter, defaultdict
+from urllib.parse import urlsplit
+
 import pytest
 
 from kinfold.llm import html_main as S
@@ -17,7 +21,7 @@ def test_article(body, want):
 
 
 def test_odd_pages():
-    assert S.main_text(None, None) == S.main_text("", None) == S.main_text("<nav>x</nav>", None) == ""
+    assert S.main_text(None) == S.main_text("") == S.main_text("<nav>x</nav>") == ""
     assert S.main_text("plain text", None) == "plain text"
     assert S.main_text("a < b <c", None) == "a < b"
     assert S.main_text("<div>" * 3000 + "x", None) == "x"
@@ -32,15 +36,16 @@ def site(words):
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(i, u, h, "x", 5) for i, u, h in rows], "page_id long, url string, html string, text string, n_chars int")
+    return spark.createDataFrame([(i, u, h, "x", 5, 1, 2, 3, 4) for i, u, h in rows], "page_id long, url string, html string, text string, n_chars int, host int, template int, nodes int, low int")
 
 
 def test_what_a_site_repeats_is_removed(spark):
     rows = [(k, f"http://site.org/{k}", site(f"Story number {k} tells of {k * k}")) for k in range(12)] + [(50 + k, f"http://few.org/{k}", site(f"Few {k}")) for k in range(3)]
+    rows += [(60 + k, f"http://two.org/{k}", site(f"Two {k}")) for k in range(2)]
     got = {r.page_id: r.text for r in S.extract(pages(spark, rows)).collect()}
     assert got[3] == "Story number 3 tells of 9"
-    assert got[51] == "HomeAbout us\n\nFew 1\n\nAll rights kept by nobody"
-    tree = {(r.pages, round(r.content, 3)) for r in S.site_tree(pages(spark, rows)).where("host = 'site.org'").collect()}
+    assert got[51] == "Few 1" and got[61] == "HomeAbout us\n\nTwo 1\n\nAll rights kept by nobody"
+    tree = {(r.pages, round(r.content, 3)) for r in S.site_tree(S.parsed(pages(spark, rows))).where("host = 'site.org'").collect()}
     assert (12, 0.0) in tree and (12, 1.0) in tree
 
 
@@ -80,3 +85,47 @@ def test_what_a_site_repeats_in_articles_is_removed(spark):
 )
 def test_marks_do_not_take_the_article(source, want):
     assert S.main_text(source, None) == want
+
+
+def by_brute_force(rows):
+    """Each page's text from its host's merged tree, counted node by node."""
+    sites = defaultdict(lambda: defaultdict(lambda: ([], [], [])))
+    for _, url, source in rows:
+        for node, weight, shape, words in S.Page(source).merged()[0]:
+            for into, x in zip(sites[urlsplit(url).hostname][node], (weight, shape, words), strict=True):
+                into.append(x)
+
+    def entropy(signatures):
+        m = len(signatures)
+        return 1.0 if m == 1 else -sum(c / m * math.log(c / m) for c in Counter(signatures).values()) / math.log(m)
+
+    importance = {}
+    for host, nodes in sites.items():
+        for node, (weights, *signatures) in nodes.items():
+            m, own = len(weights), max(map(entropy, signatures))
+            importance[host, node] = (m, weights[0] * (m * own + S.PRIOR_PAGES) / (m + S.PRIOR_PAGES))
+    low = defaultdict(set)
+    for (host, node), (_, x) in importance.items():
+        if x < S.LEAST_IMPORTANCE:
+            low[host].add(node)
+    return importance, {i: S.main_text(source, low[urlsplit(url).hostname]) for i, url, source in rows}
+
+
+def test_trees_and_texts_match_brute_force(spark):
+    story = lambda k: f"<p>Story number {k} tells of {k * k} and more</p>" * (1 + k % 3)
+    box = lambda k: f"<div class='box b{k % 2}'>Box {k % 2}<span>Write to us</span></div>"
+    form = [lambda k: f"<body><div class='top'>Home {k % 2}</div>{story(k)}{box(k)}<footer>End</footer></body>", lambda k: PAGE.format(story(k) + box(k)), lambda k: f"<main>loose {k}<article>{story(k)}</article>{box(k)}</main>"]
+    rows = [(100 * f + k, f"http://site{f}{k % 2}.org/{k}", form[f](k // 3)) for f in range(3) for k in range(17)]
+    importance, texts = by_brute_force(rows)
+    read = S.parsed(pages(spark, rows))
+    got = {(r.host, r.node): (r.pages, r.importance) for r in S.site_tree(read).collect()}
+    assert set(got) == set(importance) and all(got[k] == (m, pytest.approx(x)) for k, (m, x) in importance.items())
+    assert {r.page_id: r.text for r in S.extract(pages(spark, rows)).collect()} == texts
+
+
+def test_every_removal_comes_from_the_tree(spark):
+    rows = [(k, f"http://site.org/{k}", PAGE.format(f"<p>Story {k}")) for k in range(5)]
+    read = S.parsed(pages(spark, rows))
+    low = S.low_nodes(read, S.site_tree(read))
+    assert all(r.text == f"Head & line\n\nStory {r.page_id}" for r in S.page_texts(read, low).collect())
+    assert all(r.text == f"Menu\n\nBuy\n\nHead & line\n\nStory {r.page_id}\n\n© x" for r in S.page_texts(read, low.limit(0)).collect())
