@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import stash
 
-#: Rows of the sample that the graph, the partitions and the classifier are learned from, at most.
+#: Vectors of the sample that a graph, its partitions and its classifier are learned from, at most.
 SAMPLE_ROWS = 6_000
+#: One in so many of the sample is left out of the training and audits the routing.
+AUDIT_EVERY = 6
 #: Neighbours in the sample's graph.
 GRAPH_K = 10
-PARTITIONS = 16
-#: Share of the true neighbours that routing must find on the sample before the number of probes is fixed.
-RECALL = 0.96
-#: Rows of a block of candidates, and of a block of queries, that one task compares.
+#: Distinct vectors in a partition, about, and partitions of a level, at most: beyond their product there are two levels.
+LEAF_ROWS = 4096
+FAN = 64
+#: Share of the true neighbours that routing must find for the audit's queries; it fixes the number of probes.
+RECALL = 0.95
+#: Rows of a block of candidates that a task holds while the queries pass by.
 BLOCK = 8192
 
 
@@ -29,8 +37,10 @@ def usable(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return fine.where(F.size(v) == (lengths["_d"] if lengths else 0))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(x, dtype=np.float64) for x in column])
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list column as one array of doubles, a row per list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def balanced_cut(near: np.ndarray, vectors: np.ndarray, parts: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -105,103 +115,204 @@ class Router:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return h, e / e.sum(axis=1, keepdims=True)
 
-    def order(self, vectors: np.ndarray) -> np.ndarray:
-        """Partitions of each row, most probable first."""
-        return np.argsort(-self._forward(vectors * self.scale)[1], axis=1, kind="stable")
+    def shares(self, vectors: np.ndarray) -> np.ndarray:
+        """Each row's probabilities of the partitions."""
+        return self._forward(vectors * self.scale)[1]
 
 
-def learn(sample: np.ndarray, parts: int = PARTITIONS, k: int = 20, recall: float = RECALL) -> tuple[Router | None, int]:
-    """The router and the number of partitions to probe, the least that finds ``recall`` of the sample's own ``k`` nearest.
+def neighbours(x: np.ndarray, k: int, queries: np.ndarray | None = None) -> np.ndarray:
+    """The ``k`` rows of ``x`` of largest inner product with each query; without queries with each row, itself left out."""
+    q, out = x if queries is None else queries, []
+    for s in range(0, len(q), 1024):
+        inner = q[s : s + 1024] @ x.T
+        if queries is None:
+            inner[np.arange(len(inner)), s + np.arange(len(inner))] = -np.inf
+        out.append(np.argpartition(-inner, k, axis=1)[:, :k])
+    return np.concatenate(out) if out else np.zeros((0, k), np.int64)
 
-    A sample too small to cut gets no router: everything is one partition.
-    """
-    if len(sample) < 8 * parts:
-        return None, 1
-    near = []
-    for s in range(0, len(sample), 1024):
-        inner = sample[s : s + 1024] @ sample.T
-        inner[np.arange(len(inner)), s + np.arange(len(inner))] = -np.inf
-        near.append(np.argpartition(-inner, k, axis=1)[:, :k])
-    near = np.concatenate(near)
+
+def learn(sample: np.ndarray, parts: int, k: int = 20) -> Router | None:
+    """A router over ``parts`` balanced parts of the sample's neighbour graph; none if the sample is too small to cut."""
+    if parts < 2 or len(sample) < max(8 * parts, k + 2):
+        return None
+    near = neighbours(sample, k)
     part = balanced_cut(near[:, :GRAPH_K], sample, parts)
     soft = np.full((len(sample), parts), 0.01)
     np.add.at(soft, (np.repeat(np.arange(len(sample)), k), part[near].ravel()), 1)
     soft[np.arange(len(sample)), part] += 1
-    router = Router(sample, soft / soft.sum(axis=1, keepdims=True))
-    order = router.order(sample)
-    home = order[:, 0]
-    place = np.argsort(order, axis=1)
-    needed = np.take_along_axis(place, home[near], axis=1)
-    for probes in range(1, parts + 1):
-        if (needed < probes).mean() >= recall:
-            return router, probes
-    return router, parts
-
-
-def _top(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` nearest of one block for each query, ties to the smaller id, the query's own id left out."""
+    return Router(sample, soft / soft.sum(axis=1, keepdims=True))
+
+
+class Partitions:
+    """One or two levels of routers; a leaf is a first part, or a second part of it. ``probes`` leaves are searched for a query."""
+
+    def __init__(self, first: Router | None, second: dict[int, Router] | None = None, parts: int = 1, inner: int = 1) -> None:
+        self.first, self.second = first, second or {}
+        self.parts, self.inner = (parts if first else 1), inner
+        self.leaves = self.parts * self.inner
+        self.probes = 1
+
+    def shares(self, vectors: np.ndarray) -> np.ndarray:
+        """Each row's probabilities of the leaves."""
+        top = self.first.shares(vectors) if self.first else np.ones((len(vectors), 1))
+        out = np.zeros((len(vectors), self.parts, self.inner))
+        out[:, :, 0] = top
+        for p, router in self.second.items():
+            out[:, p] = top[:, p, None] * router.shares(vectors)
+        return out.reshape(len(vectors), self.leaves)
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        return self.shares(vectors).argmax(axis=1)
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """Leaves of each row, most probable first."""
+        return np.argsort(-self.shares(vectors), axis=1, kind="stable")
+
+    def audit(self, sample: np.ndarray, asked: np.ndarray, k: int, recall: float) -> float:
+        """Set ``probes`` to the least that finds ``recall`` of the sample's ``k`` nearest of rows that no part was learned from; what it finds."""
+        if self.leaves == 1 or not len(asked) or len(sample) <= k:
+            self.probes = self.leaves
+            return 1.0
+        place = np.argsort(self.order(asked), axis=1)
+        needed = np.take_along_axis(place, self.home(sample)[neighbours(sample, k, asked)], axis=1)
+        self.probes = next(m for m in range(1, self.leaves + 1) if (needed < m).mean() >= recall or m == self.leaves)
+        return float((needed < self.probes).mean())
+
+
+def _thinned(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """At most ``most`` rows ``(by, v)`` of each value of ``by``, those of smallest hash; a threshold thins them before any task ranks them."""
+    size = rows.groupBy(by).count()
+    near = rows.withColumn("mark", F.xxhash64("h", F.lit(5))).join(F.broadcast(size), by).where(F.pmod("mark", F.lit(1 << 30)) < (F.lit(2.0 * most + 200) / F.col("count")) * (1 << 30))
+    return near.selectExpr(by, "v", "node", f"row_number() over (partition by {by} order by pmod(mark, {1 << 30}), h, node) as place").where(F.col("place") <= most)
+
+
+def partitions(nodes: DataFrame, total: int, k: int, leaf_rows: int = LEAF_ROWS) -> Partitions:
+    """Partitions learned from bounded samples of ``nodes(node, h, v)``: as many as hold about ``leaf_rows`` vectors each, ``FAN`` by ``FAN`` at most.
+
+    The first level learns from one sample on the driver, each part's second level from a sample of that part, on
+    an executor; ``FAN`` routers of a few dozen kB come back.
+    """
+    parts = min(FAN, max(1, -(-total // leaf_rows)))
+    inner = min(FAN, -(-total // (parts * leaf_rows))) if parts == FAN else 1
+    got = matrix(_thinned(nodes.withColumn("all", F.lit(0)), "all", SAMPLE_ROWS).orderBy("place").select("v").toArrow().column("v"))
+    asks = np.arange(len(got)) % AUDIT_EVERY == AUDIT_EVERY - 1
+    found = Partitions(learn(got[~asks], parts, k), parts=parts, inner=inner if parts > 1 else 1)
+    if found.inner > 1 and found.first:
+        model = nodes.sparkSession.sparkContext.broadcast(found.first)
+        part_of = F.arrow_udf(lambda v: pa.array(model.value.shares(matrix(v)).argmax(axis=1) if len(v) else [], pa.int32()), "int")
+
+        def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            router = learn(np.stack(rows["v"].to_numpy()).astype(np.float64), inner, k)
+            return pd.DataFrame({"p": [key[0]], "model": [pickle.dumps(router)]})
+
+        split = stash(nodes.select("node", "h", "v", part_of("v").alias("p")), "ann-parts")
+        for r in _thinned(split, "p", SAMPLE_ROWS).select("p", "v").groupBy("p").applyInPandas(fit, "p int, model binary").collect():
+            router = pickle.loads(r["model"])
+            if router is not None:
+                found.second[r["p"]] = router
+    found.audit(got[~asks], got[asks], k, RECALL)
+    return found
+
+
+def _top(queries: np.ndarray, vectors: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, row, score)``: the ``k`` best rows of one block for each query, ties to the smaller ``least``."""
     out = []
     for s in range(0, len(queries), 256):
         inner = queries[s : s + 256] @ vectors.T
-        inner[query_ids[s : s + 256, None] == ids[None]] = -np.inf
         # The product of blocks may differ in the last bits from that of two vectors; near-ties are scored again.
-        floor = np.partition(inner, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(inner), -np.inf)
-        row, col = np.nonzero((inner >= (floor - 1e-9 * np.abs(floor).clip(1e-300, 1e300))[:, None]) & (inner > -np.inf))
+        floor = np.partition(inner, len(vectors) - k, axis=1)[:, len(vectors) - k] if len(vectors) > k else np.full(len(inner), -np.inf)
+        row, col = np.nonzero(inner >= (floor - 1e-9 * np.abs(floor).clip(1e-300, 1e300))[:, None])
         score = np.concatenate([(queries[s + row[t : t + 65536]] * vectors[col[t : t + 65536]]).sum(axis=1) for t in range(0, len(row), 65536)] or [np.zeros(0)])
-        order = np.lexsort((ids[col], -score, row))
+        order = np.lexsort((least[col], -score, row))
         row, col, score = row[order], col[order], score[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        keep = rank < k
-        out.append(pd.DataFrame({"query_id": query_ids[s + row[keep]], "vec_id": ids[col[keep]], "score": score[keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        out.append((s + row[keep], col[keep], score[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, parts: int = PARTITIONS) -> DataFrame:
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The slices of sorted batches that lie in one group, each with whether its group begins there."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        cuts = [0, *(j for j in range(1, len(own)) if own[j] != own[j - 1]), len(own)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield own[a] != last, batch.slice(a, b - a)
+            last = own[a]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by block, candidates before queries: holds a block's candidates and answers its queries as they pass."""
+    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
+    held: list[tuple] = []
+    for new, part in grouped(batches, ["leaf", "block", "asks"]):
+        v, node = matrix(part.column("v")), part.column("node").to_numpy()
+        if not part.column("asks")[0].as_py():
+            held = ([] if new else held) + [(v, node, part.column("least").to_numpy())]
+            block = (part.column("leaf")[0].as_py(), part.column("block")[0].as_py())
+        elif held and block == (part.column("leaf")[0].as_py(), part.column("block")[0].as_py()):
+            if len(held) > 1:
+                held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
+            q, row, score = _top(v, held[0][0], held[0][2], k)
+            yield pa.record_batch([pa.array(node[q]), pa.array(held[0][1][row]), pa.array(score)], schema=schema)
+
+
+def _searched(nodes: DataFrame, asked: DataFrame, sizes: DataFrame, k: int, probes: int, model) -> DataFrame:
+    """``(query, node, score)``: per query node, the best ``k`` of each block of its ``probes`` most probable leaves."""
+    order = F.arrow_udf(lambda v: pa.array(list(model.value.order(matrix(v))[:, :probes].astype(np.int32)) if len(v) else [], pa.list_(pa.int32())), "array<int>")
+    spark = nodes.sparkSession
+    blocks = sizes.selectExpr("leaf", f"cast(ceil(n / {BLOCK}) as int) as blocks")
+    held = nodes.join(F.broadcast(blocks), "leaf").select("leaf", F.pmod("h", F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "node", "v", "least")
+    sent = asked.select("node", "v", "least", F.explode(order("v")).alias("leaf")).join(F.broadcast(blocks), "leaf")
+    sent = sent.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "node", "v", "least")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, blocks.agg(F.sum("blocks")).first()[0] or 1))
+    dealt = held.unionByName(sent).repartition(tasks, "leaf", "block").sortWithinPartitions("leaf", "block", "asks")
+    return dealt.mapInArrow(lambda b: _compare(b, k), "query long, node long, score double")
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 20, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows of ``df`` found for each row of ``queries``, by inner product.
 
-    Both are ``(vec_id, embedding)``. Every row is indexed under its most probable partition; a query goes to its
-    most probable ones, as many as the audit of the sample asks for. Partitions are cut into blocks of about
-    ``BLOCK`` rows by a hash of vec_id, so a partition with a third of all rows is many groups, and queries into
-    blocks as well. Unusable vectors take no part; rows with a null vec_id neither. Rows of one vec_id never
-    find each other; a repeated query is answered once, by its smallest vector.
+    Both are ``(vec_id, embedding)``. Equal vectors are one node with its ``k + 1`` smallest ids, which are all that
+    any answer can show, so a vector that a third of all rows hold is indexed and asked once. Every node lies in its
+    most probable leaf; a query goes to as many of its most probable leaves as the audit asks for. A leaf is cut by
+    hash into blocks of about ``BLOCK`` nodes, each held by one task while the queries stream by. A query that finds
+    fewer than ``k`` is asked again in all leaves. Unusable vectors take no part; rows with a null vec_id neither.
+    Rows of one vec_id never find each other; a repeated query is answered once, by its smallest vector.
     """
-    spark = df.sparkSession
-    rows = stash(usable(df.where(F.col("vec_id").isNotNull())).select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "ann-rows")
-    asked = rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = rows.count()
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()
-    router, probes = learn(_matrix(sample["v"]), parts, k)
-    model = spark.sparkContext.broadcast(router)
-
-    def routed(most: int):
-        @F.pandas_udf("array<int>")
-        def of(v: pd.Series) -> pd.Series:
-            if model.value is None or not len(v):
-                return pd.Series([[0]] * len(v))
-            return pd.Series(list(model.value.order(_matrix(v))[:, :most]))
-
-        return of
-
-    blocks = max(1, -(-total // (BLOCK * (parts if router else 1))))
-    query_blocks = max(1, -(-total // (20 * BLOCK)))
-    indexed = rows.select("vec_id", "v", routed(1)("v")[0].alias("p"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b"))
-    indexed = indexed.select("vec_id", "v", "p", "b", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    indexed = indexed.toDF("vec_id", "v", "p", "b", "q")
-    sent = asked.select("vec_id", "v", F.explode(routed(probes)("v")).alias("p"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("q"))
-    sent = sent.select("vec_id", "v", "p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "q").toDF("qid", "qv", "qp", "qb", "qq")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        return _top(_matrix(left["qv"]), left["qid"].to_numpy(), _matrix(right["v"]), right["vec_id"].to_numpy(), k)
-
-    found = sent.groupBy("qp", "qb", "qq").cogroup(indexed.groupBy("p", "b", "q")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    ranked = found.dropDuplicates(["query_id", "vec_id", "score"]).selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank", "vec_id", "score")
+    rows = usable(df.where(F.col("vec_id").isNotNull())).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("v"))
+    rows = stash(rows.withColumn("h", F.xxhash64("v")).distinct(), "ann-rows")
+    few = rows.selectExpr("vec_id", "h", "v", "row_number() over (partition by h, v order by vec_id) as place").where(F.col("place") <= k + 1)
+    nodes = few.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("node", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0])
+    nodes = stash(nodes, "ann-nodes")
+    found = partitions(nodes.select("node", "h", "v"), nodes.count(), k, leaf_rows)
+    model = df.sparkSession.sparkContext.broadcast(found)
+    home = F.arrow_udf(lambda v: pa.array(model.value.home(matrix(v)) if len(v) else [], pa.int32()), "int")
+    index = stash(nodes.select("node", "h", "v", "least", home("v").alias("leaf")), "ann-index")
+    sizes = stash(index.groupBy("leaf").agg(F.count("*").alias("n")), "ann-sizes")
+    own = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("v", "h")).alias("x")).select(F.col("vec_id").alias("query_id"), "x.v", "x.h")
+    who = stash(own.join(nodes.select("h", "v", "node"), ["h", "v"]).select("query_id", "node"), "ann-queries")
+    asked = nodes.join(who.select("node").distinct(), "node", "left_semi").select("node", "v", "least")
+    ids = nodes.select("node", "ids")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """The best ``k + 1`` ids of each query node."""
+        shown = pairs.join(ids, "node").select("query", "score", F.explode("ids").alias("vec_id"))
+        return stash(shown.selectExpr("*", "row_number() over (partition by query order by score desc, vec_id) as place").where(F.col("place") <= k + 1).drop("place"), "ann-found")
+
+    best = named(_searched(index, asked, sizes, k + 1, found.probes, model))
+    if found.probes < found.leaves:
+        short = asked.join(best.groupBy("query").count().where(F.col("count") > k).select(F.col("query").alias("node")), "node", "left_anti")
+        short = stash(short, "ann-short")
+        if not short.isEmpty():
+            best = best.join(short.select(F.col("node").alias("query")), "query", "left_anti").unionByName(named(_searched(index, short, sizes, k + 1, found.leaves, model)))
+    answers = who.join(best, who["node"] == best["query"]).where("vec_id <> query_id")
+    ranked = answers.selectExpr("query_id", "cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank", "vec_id", "score")
     return ranked.where(F.col("rank") <= k)
 
 
 def every_twentieth(df: DataFrame) -> DataFrame:
     """The stated query set: rows whose vec_id is divisible by 20, against all rows."""
     return search(df, df.where(F.col("vec_id") % 20 == 0))
-
-
