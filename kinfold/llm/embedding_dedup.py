@@ -30,6 +30,8 @@ FIRST_BEAM = 16
 AUDIT = 128
 #: Cosines this near the threshold are computed again by one formula for both directions.
 DOUBT = 1e-9
+#: How far cosines in single precision may be off, with a wide margin.
+ROUGH = 1e-4
 _QUERIES = 1024
 
 
@@ -213,11 +215,14 @@ def audited_links(world: SmallWorld, q: np.ndarray, least: float, own: np.ndarra
         keep = b != own[a]
         return a[keep], b[keep]
 
+    narrow = world.x.astype(np.float32).T.copy()
+
     def scan(ks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sims = q[ks] @ world.x.T
-        a, b = np.nonzero(sims >= least - DOUBT)
-        hit = reaches(q[ks[a]], world.x[b], least, sims[a, b])
-        return other(ks[a[hit]], b[hit])
+        # Single precision only rules out what is far below; the rest is computed in double.
+        a, b = np.nonzero(q[ks].astype(np.float32) @ narrow >= least - ROUGH)
+        out = [(ks[a[s : s + 65536]], b[s : s + 65536]) for s in range(0, len(a), 65536)]
+        out = [(x[hit], y[hit]) for x, y in out if (hit := reaches(q[x], world.x[y], least, np.einsum("ij,ij->i", q[x], world.x[y]))).any()]
+        return other(*(np.concatenate(z) for z in zip(*out, strict=True))) if out else (ks[:0], ks[:0])
 
     at, beam, n, audit = 0, FIRST_BEAM, len(world.x), 0
     while at < len(q) and audit < AUDIT:
@@ -318,8 +323,9 @@ def link(df: DataFrame, least: float = COSINE) -> DataFrame:
     ids = df.select("vec_id", "embedding", "label")
     fine = usable(ids.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
     v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    rows = stash(fine.select("vec_id", "label", v.alias("v")).withColumn("h", F.xxhash64("v")), "vector-rows")
-    nodes = rows.groupBy("label", "h", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
+    # Equal vectors are known by 128 bits of hash, so that the vectors themselves are moved once.
+    rows = stash(fine.select("vec_id", "label", v.alias("v")).withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vector-rows")
+    nodes = rows.groupBy("label", "h", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id())
     nodes = stash(nodes, "vector-nodes")
     size = stash(nodes.groupBy("label").agg(F.count("*").alias("n")).selectExpr("label", f"cast(ceil(n / {SHARD}) as int) as shards", f"cast(ceil(n / {ASK}) as int) as asks"), "vector-shards")
     total = size.agg(F.sum("shards"), F.sum(F.col("shards") * F.col("asks"))).first()
@@ -344,10 +350,10 @@ def link(df: DataFrame, least: float = COSINE) -> DataFrame:
     answers = stash(dealt.mapInArrow(lambda b: _asked(b, least), "kind byte, a long, b long"), "vector-links")
     outside = answers.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     roots = components(answers.where("kind = 1").select("a", "b"))
-    classes = nodes.select("label", "h", "v", "node", "least", "copies").join(outside, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = stash(classes.select("label", "h", "v", "root", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-classes")
+    classes = nodes.select("label", "h", "h2", "node", "least", "copies").join(outside, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = stash(classes.select("label", "h", "h2", "root", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-classes")
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rows.join(classes.join(smallest, "root").select("label", "h", "v", "n_links", "component_id"), ["label", "h", "v"]).select("vec_id", "n_links", "component_id")
+    linked = rows.select("vec_id", "label", "h", "h2").join(classes.join(smallest, "root").select("label", "h", "h2", "n_links", "component_id"), ["label", "h", "h2"]).select("vec_id", "n_links", "component_id")
     # Rows that took no part: told apart by what ruled them out, so that repeated ids stay rows of their own.
     d = rows.select(F.size("v").alias("d")).limit(1).first()
     e = F.col("embedding")
