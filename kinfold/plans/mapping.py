@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from typing import Protocol
 
@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import SAMPLE_NULL_LITERALS, is_blank
-from kinfold.plans.vocabulary import FIELDS, header_synonyms
+from kinfold.plans.vocabulary import FIELDS, HEADER_SYNONYMS
 
 UNMAPPED = "unmapped"
-# Tokens that tell nothing about a header, and tokens of activity columns.
-GENERIC = frozenset(
-    "user id no number code val data txt date time day year month account balance total amount is has flag status type info memo note notes desc"
-    " description item record entry member last first home social screen profile".split()
-)
-ACTIVITY = frozenset("active seen login activity updated timestamp last_active last_seen last_login".split())
+# Tokens that tell nothing about a header, tokens of activity columns, targets that are names, and
+# targets that no id column stands for.
+GENERIC = frozenset((
+    "user", "id", "no", "number", "code", "val", "data", "txt", "date", "time", "day", "year", "month", "account", "balance", "total", "amount", "is", "has", "flag", "status", "type", "info", "memo",
+    "note", "notes", "desc", "description", "item", "record", "entry", "member", "last", "first", "home", "social", "screen", "profile",
+))
+ACTIVITY = frozenset(("active", "seen", "login", "activity", "updated", "timestamp", "last_active", "last_seen", "last_login"))
 NAMES = frozenset(("name", "first_name", "last_name", "business_name"))
 NOT_BY_ID = frozenset(("phone", "email", "name", "address", "company", "city", "username"))
 ACCEPT = 0.75
@@ -69,8 +70,8 @@ def token_score(shared: set[str], own: set[str], other: set[str]) -> float:
 class HeaderMapper:
     """The deterministic provider: exact names first, then scored likeness to the synonyms."""
 
-    def __init__(self, synonyms: dict[str, list[str]] | None = None) -> None:
-        self.synonyms = synonyms or header_synonyms()
+    def __init__(self, synonyms: Mapping[str, Sequence[str]] | None = None) -> None:
+        self.synonyms = HEADER_SYNONYMS if synonyms is None else synonyms
         self._seen: dict[tuple[str, ...], dict[str, Proposal]] = {}
 
     def _scored(self, name: str) -> tuple[str, float, str]:
@@ -206,6 +207,20 @@ def select_columns(proposals: dict[str, Proposal], show: str = "all", part: str
 
 
 def previews(df: DataFrame, rows: int = 3) -> dict[str, list[str]]:
-    """Up to ``rows`` filled values of each column, from the table's first thousand rows."""
-    found = df.limit(1000).agg(*[F.slice(F.array_compact(F.collect_list(F.when(~is_blank(F.col(f"`{c}`").cast("string")), F.col(f"`{c}`").cast("string")))), 1, rows).alias(c) for c in df.columns]) if df.columns else None
-    return found.first().asDict() if found is not None else {}
+    """The first ``rows`` filled values of each column of the whole table, in the order in which it is read.
+
+    Values are numbered as they are read; a column's first value is a minimum, its next the minimum beyond it, so a
+    pass over the table gives one value of every column and gathers nothing.
+    """
+    if not df.columns:
+        return {}
+    value = {c: F.col(f"`{c}`").cast("string") for c in df.columns}
+    numbered = df.select(F.monotonically_increasing_id().alias("at"), F.struct(*[F.when(~is_blank(v), v).alias(c) for c, v in value.items()]).alias("row"))
+    out: dict[str, list[str]] = {c: [] for c in df.columns}
+    last = dict.fromkeys(df.columns, -1)
+    while open_ := [c for c in df.columns if len(out[c]) < rows and last[c] is not None]:
+        first = [F.min(F.when((F.col("at") > last[c]) & F.col("row")[c].isNotNull(), F.struct("at", F.col("row")[c].alias("v")))).alias(str(k)) for k, c in enumerate(open_)]
+        for c, found in zip(open_, numbered.agg(*first).first(), strict=True):
+            last[c] = found["at"] if found else None
+            out[c] += [found["v"]] if found else []
+    return out

@@ -47,3 +47,5 @@ def test_columns_to_look_at(spark):
     assert select_columns(got, "review") == ["handle", "screen_name"] and select_columns(got, "mapped", "mail") == ["email"] and "warehouse_bay" in select_columns(got, "unmapped") and len(select_columns(got)) == 4
     df = spark.createDataFrame([("a", None), ("b", "n/a"), ("c", "x"), ("d", "y")], "u string, v string").coalesce(1)
     assert previews(df) == {"u": ["a", "b", "c"], "v": ["x", "y"]}
+    late = spark.range(5000).coalesce(1).selectExpr("if(id >= 4000, concat('v', id), ' ') as x", "cast(null as int) as `a.b`")
+    assert previews(late) == {"x": ["v4000", "v4001", "v4002"], "a.b": []} and previews(late.limit(0))["x"] == []
