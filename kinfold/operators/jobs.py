@@ -32,10 +32,14 @@ class JobLog:
         self.spark, self.path = spark, path
         self._threads: dict[str, threading.Thread] = {}
         self._lock = threading.RLock()
-        self._version = 0
+        # Rows of this log follow those that an earlier application left.
+        self._version = self.read().agg(F.max("version")).first()[0] or 0
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        """All rows; none if nothing was logged yet."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        return self.spark.read.schema(SCHEMA).parquet(self.path) if path.getFileSystem(conf).exists(path) else self.spark.createDataFrame([], SCHEMA)
 
     def _append(self, **row) -> None:
         with self._lock:
@@ -78,7 +82,8 @@ class JobLog:
 
     def recover(self) -> DataFrame:
         """Close what was under way when the application stopped; the states after it."""
-        log = self.read()
-        recovered(log).write.mode("append").parquet(self.path)
-        self._version = max(self._version, self.read().agg(F.max("version")).first()[0] or 0)
+        with self._lock:
+            rows = recovered(self.read()).withColumn("version", F.lit(self._version + 1).cast("long"))
+            rows.write.mode("append").parquet(self.path)
+            self._version += 1
         return latest(self.read())
