@@ -22,6 +22,7 @@ def main(args: list[str] | None = None) -> dict:
     parser.add_argument("files", nargs="+", help="CSV files with headers, or SQL dumps ending in .sql")
     parser.add_argument("--export", help="folder for the wide master as CSV")
     parser.add_argument("--store", help="folder for all tables as Parquet")
+    parser.add_argument("--edges", action="store_true", help="store the log of all matching pairs as well")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("kinfold").getOrCreate()
     tables = {}
@@ -38,7 +39,7 @@ def main(args: list[str] | None = None) -> dict:
     if given.export:
         write_export(found.wide(), given.export)
     if given.store:
-        Repository(spark, given.store).save(found)
+        Repository(spark, given.store).save(found, edges=given.edges)
     stats["elapsed_seconds"] = round(time.time() - began, 2)
     for name, value in stats.items():
         print(f"{name}: {value}")

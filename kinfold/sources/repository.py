@@ -1,4 +1,8 @@
-"""A repository of tables as Parquet folders: append, overwrite, keyed upsert, views, reset."""
+"""A repository of tables as Parquet folders: append, overwrite, keyed upsert, views, reset.
+
+A table is a folder of numbered versions. A version counts from the moment at which its last file, the writer's
+success mark, is there; so a writer that stops half-way leaves the table as it was, and readers never see a part.
+"""
 
 from __future__ import annotations
 
@@ -35,28 +39,51 @@ class Repository:
         path = jvm.org.apache.hadoop.fs.Path(self._at(name))
         return path, path.getFileSystem(conf)
 
-    def read(self, name: str) -> DataFrame:
-        """A table; empty with its schema if nothing was written."""
+    def _versions(self, name: str) -> list[int]:
+        """The complete versions of a table, oldest first."""
         path, fs = self._fs(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self._at(name)) if fs.exists(path) else self.spark.createDataFrame([], SCHEMAS[name])
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path)]
+        child = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(p.getName()[1:]) for p in found if p.getName()[1:].isdigit() and fs.exists(child(p, "_SUCCESS")))
+
+    def version(self, name: str) -> int:
+        """The number of the version that :meth:`read` reads, 0 if nothing was written."""
+        return max(self._versions(name), default=0)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """A table, its newest version by default; empty with its schema if nothing was written."""
+        at = self.version(name) if version is None else version
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self._at(name)}/v{at}") if at in self._versions(name) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def _shaped(self, name: str, df: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], SCHEMAS[name]).schema
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
     def append(self, name: str, df: DataFrame) -> None:
-        self._shaped(name, df).write.mode("append").parquet(self._at(name))
-
-    def overwrite(self, name: str, df: DataFrame) -> None:
-        """Replace a table; the new one may read the old one, so it is written beside it and then put in its place."""
-        self._shaped(name, df).write.mode("overwrite").parquet(self._at(f"{name}.new"))
-        (new, fs), (old, _) = self._fs(f"{name}.new"), self._fs(name)
-        fs.delete(old, True)
-        fs.rename(new, old)
+        """Add rows to the newest version, or make the first."""
+        self._shaped(name, df).write.mode("append").parquet(f"{self._at(name)}/v{self.version(name) or 1}")
+
+    def overwrite(self, name: str, df: DataFrame, version: int | None = None) -> None:
+        """Replace a table, which the new one may read: the next version is written beside the old one, which stays readable until the one after it.
+
+        With a ``version`` of the caller's own, writing it again replaces it alone.
+        """
+        kept = [v for v in self._versions(name) if version is None or v < version]
+        at = (max(kept, default=0) + 1) if version is None else version
+        self._shaped(name, df).write.mode("overwrite").parquet(f"{self._at(name)}/v{at}")
+        for old in kept[:-1]:
+            path, fs = self._fs(f"{name}/v{old}")
+            fs.delete(path, True)
 
     def upsert(self, name: str, df: DataFrame, key: str) -> None:
-        """Rows of ``df`` in place of those of the same key; of several rows of a key in ``df`` one is kept."""
-        new = self._shaped(name, df).dropDuplicates([key])
+        """Rows of ``df`` in place of those of the same key; of several rows of a key in ``df`` the last in order of its other columns counts."""
+        new = self._shaped(name, df)
+        others = [c for c, kind in new.dtypes if c != key and not kind.startswith("map")]
+        maps = [c for c, kind in new.dtypes if kind.startswith("map")]
+        order = F.struct(*others, *[F.array_sort(F.map_entries(c)).alias(c) for c in maps])
+        new = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), order).alias("row")).select(key, "row.*").select(*new.columns)
         self.overwrite(name, self.read(name).join(new.select(key), key, "left_anti").unionByName(new))
 
     def views(self, prefix: str = "") -> None:
@@ -74,15 +101,29 @@ class Repository:
             path, fs = self._fs(name)
             fs.delete(path, True)
 
-    def save(self, r: Resolution) -> None:
-        """Write all tables of a resolution in place of what is there."""
+    def save(self, r: Resolution, edges: bool = True) -> None:
+        """Write all tables of a resolution in place of what is there.
+
+        The edge log holds all pairs of a value, so it grows with the square of a value's records; nothing but a
+        reader of the log itself needs it, and it can be left out.
+        """
         counts = r.records.groupBy("source_id").agg(F.count("*").alias("total_raw_records"), F.count_distinct("part_id").cast("int").alias("total_parts"))
         self.overwrite("data_sources", r.sources.join(counts, "source_id").withColumns({"is_multipart": F.col("total_parts") > 1, "created_at": F.current_timestamp(), "file_format": F.lit("table")}))
         parts = r.records.groupBy("part_id", "source_id").agg(F.count("*").alias("record_count"))
         self.overwrite("dataset_parts", parts.withColumns({"status": F.lit("INGESTED"), "part_number": F.regexp_extract("part_id", r"_(\d+)$", 1).cast("int")}))
-        for name, df in (("canonical_records", r.records), ("identifier_index", r.identifier_index), ("enrichment_edges", r.edges), ("entity_members", r.members), ("field_provenance", r.provenance), ("master_entities", r.master)):
+        for name, df in (("canonical_records", r.records), ("identifier_index", r.identifier_index), *([("enrichment_edges", r.edges)] if edges else []), ("entity_members", r.members), ("field_provenance", r.provenance), ("master_entities", r.master)):
             self.overwrite(name, df)
 
     def load(self) -> Resolution:
         """The stored records and sources as a resolution; its clusters are those of the stored records' keys."""
         return Resolution(self.read("canonical_records"), self.read("data_sources").select("source_id", "source_name"))
+
+    def keep(self, records: DataFrame, sources: DataFrame, version: int) -> None:
+        """Records and sources as they are after step ``version``; repeating a step replaces what it left."""
+        self.overwrite("data_sources", sources, version)
+        self.overwrite("canonical_records", records, version)
+
+    def kept(self, before: int) -> Resolution | None:
+        """The newest of the kept states older than step ``before``; None if there is none."""
+        found = [v for v in self._versions("canonical_records") if v < before]
+        return Resolution(self.read("canonical_records", found[-1]), self.read("data_sources", found[-1]).select("source_id", "source_name")) if found else None

@@ -10,21 +10,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kinfold.operators.records import Source
 from kinfold.operators.resolve import Resolution, extend, resolve
+from kinfold.sources.repository import Repository
 
 
-def resolve_stream(stream: DataFrame, as_source: Callable[[DataFrame, int], Source], publish: Callable[[Resolution, int], None], checkpoint: str, earlier: Resolution | None = None) -> StreamingQuery:
+def resolve_stream(stream: DataFrame, as_source: Callable[[DataFrame, int], Source], publish: Callable[[Resolution, int], None], checkpoint: str, store: Repository, earlier: Resolution | None = None) -> StreamingQuery:
     """Resolve each micro-batch together with all records before it and publish the result.
 
-    A batch that is delivered again is resolved against the state before it, so ``publish`` must replace, not add.
+    What came before lies in ``store`` under the batch's number, not in the driver: a restarted query goes on from
+    there, and a batch that is delivered again is resolved against the state before it, so ``publish`` must replace,
+    not add. ``earlier`` counts where the store holds nothing. A batch's own rows are normalised once; the clusters
+    of all records are found anew, since a late record can join any two of them.
     """
-    state: dict[int, Resolution | None] = {-1: earlier}
 
     def batch(df: DataFrame, number: int) -> None:
-        before = state[max(k for k in state if k < number)]
+        before = store.kept(number + 1) or earlier
         source = as_source(df, number)
         now = resolve([source]) if before is None else extend(before, [source])
+        store.keep(now.records, now.sources, number + 1)
         publish(now, number)
-        state[number] = now
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

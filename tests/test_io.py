@@ -8,17 +8,27 @@ from kinfold.operators import jobs
 from kinfold.operators.components import clusters, connected_components
 from kinfold.operators.numbering import numbered, tagged
 from kinfold.operators.records import Source
-from kinfold.sources import files
+from kinfold.sources import files, sql_dump
+from kinfold.sources.repository import Repository
 from kinfold.sources.sql_dump import read_sql_dump
 from kinfold.streaming import ingest
 
 
-def test_sql_dump(spark, tmp_path):
+def test_sql_dump(spark, tmp_path, monkeypatch):
     path = tmp_path / "d.sql"
     path.write_text("CREATE TABLE m (id INTEGER PRIMARY KEY, mail VARCHAR, score REAL); INSERT INTO m VALUES (1, 'a@b.c', 1.5), (2, NULL, NULL); CREATE TABLE empty (x TEXT);")
     for limit in (10**7, 1):
         got = read_sql_dump(spark, str(path), limit)
         assert sorted(map(tuple, got["m"].collect())) == [(1, "a@b.c", 1.5), (2, None, None)] and got["empty"].count() == 0
+    path.write_text("""CREATE TABLE t (a INTEGER, b INTEGER, c TEXT, d BLOB, "e f" REAL);
+INSERT INTO t VALUES (1, 3.7, 'x; y', x'4142', 2);
+INSERT INTO t VALUES (9007199254740993, 2, 5, NULL, 1.5), (NULL, NULL, NULL, NULL, NULL); CREATE TABLE u (n INTEGER); INSERT INTO u VALUES ('three'), (4);
+""")
+    for limit, chunk in ((10**7, 50_000), (1, 1)):
+        monkeypatch.setattr(sql_dump, "CHUNK", chunk)
+        got = read_sql_dump(spark, str(path), limit)
+        assert sorted(map(tuple, got["t"].collect()), key=str) == sorted([(1, 3.7, "x; y", "AB", 2.0), (9007199254740993, 2.0, "5", None, 1.5), (None,) * 5], key=str)
+        assert {r.n for r in got["u"].collect()} == {"three", "4"}
     with pytest.raises(FileNotFoundError):
         read_sql_dump(spark, str(tmp_path / "none.sql"))
     assert files.table_name("d.sql", "m") == "d.sql (m)"
@@ -62,6 +72,13 @@ def test_jobs(spark, tmp_path):
     for j in ("j2", "j3"):
         log.wait(j, 60)
     log.recover()
+    # A second application goes on where the first one stopped.
+    again = jobs.JobLog(spark, f"file://{tmp_path}/jobs")
+    again.create("j2", "s", "resolve")
+    assert {r.job_id: r.status for r in jobs.latest(again.read()).collect()}["j2"] == jobs.QUEUED
+    again.start("j2", lambda: None)
+    again.wait("j2", 60)
+    assert jobs.JobLog(spark, f"file://{tmp_path}/none").recover().count() == 0
     got = {r.job_id: (r.status, r.error_message) for r in jobs.latest(log.read()).collect()}
     assert got["j1"][0] == jobs.INTERRUPTED and got["j2"][0] == jobs.COMPLETED and got["j3"] == (jobs.FAILED, "broken")
 
@@ -75,12 +92,54 @@ def test_streams(spark, tmp_path):
     assert spark.table("w").selectExpr("sum(n_events)").first()[0] == events.count()
     published = {}
     users = stream.select("user_id", "event_type")
-    q = ingest.resolve_stream(users, lambda df, n: Source(f"s{n}", df.distinct(), {"user_id": "uid"}, order=("user_id", "event_type")), lambda r, n: published.update({n: r.statistics.first()}), f"file://{tmp_path}/cp")
+    q = ingest.resolve_stream(users, lambda df, n: Source(f"s{n}", df.distinct(), {"user_id": "uid"}, order=("user_id", "event_type")), lambda r, n: published.update({n: r.statistics.first()}), f"file://{tmp_path}/cp", Repository(spark, f"file://{tmp_path}/state"))
     q.processAllAvailable()
     q.stop()
     assert published[max(published)].total_entities == events.select("user_id").distinct().count()
 
 
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Three batches by three queries on one checkpoint, the last of them delivered twice."""
+    into, store = tmp_path / "in", Repository(spark, f"file://{tmp_path}/state")
+    into.mkdir()
+    seen = []
+
+    def once():
+        stream = spark.readStream.schema("uid string, mail string").json(f"file://{into}")
+        q = ingest.resolve_stream(stream, lambda df, n: Source(f"s{n}", df, {"uid": "uid", "mail": "email"}, order=("uid",)), lambda r, n: seen.append((n, r.records.count(), r.statistics.first().total_entities)), f"file://{tmp_path}/cp", store)
+        q.processAllAvailable()
+        q.stop()
+
+    for k, rows in enumerate((["A1 a@x.y", "B1 b@x.y"], ["C1 a@x.y"], ["D1 b@x.y", "E1 e@x.y"])):
+        (into / f"{k}.json").write_text("\n".join(f'{{"uid": "{r.split()[0]}", "mail": "{r.split()[1]}"}}' for r in rows))
+        once()
+    assert seen == [(0, 2, 2), (1, 3, 2), (2, 5, 3)]
+    (tmp_path / "cp" / "commits" / "2").unlink()
+    for crc in (tmp_path / "cp" / "commits").glob(".2.crc"):
+        crc.unlink()
+    once()
+    assert seen[-1] == (2, 5, 3)
+
+
+def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    repo = Repository(spark, f"file://{tmp_path}/repo")
+    rows = lambda *ids: spark.createDataFrame([(i, f"name {i}") for i in ids], "source_id string, source_name string")
+    names = lambda: {r.source_id for r in repo.read("data_sources").collect()}
+    repo.append("data_sources", rows("a"))
+    repo.append("data_sources", rows("b"))
+    held = repo.read("data_sources")
+    repo.overwrite("data_sources", repo.read("data_sources").where("source_id <> 'a'"))
+    assert names() == {"b"} and held.count() == 2
+    # A writer that stopped before its success mark.
+    rows("z").write.parquet(f"file://{tmp_path}/repo/data_sources/v3")
+    (tmp_path / "repo" / "data_sources" / "v3" / "_SUCCESS").unlink()
+    assert names() == {"b"}
+    repo.overwrite("data_sources", rows("c"))
+    assert names() == {"c"}
+    repo.upsert("data_sources", spark.createDataFrame([("c", "x"), ("c", "y"), ("d", "z")], "source_id string, source_name string"), "source_id")
+    assert {(r.source_id, r.source_name) for r in repo.read("data_sources").collect()} == {("c", "y"), ("d", "z")}
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.csv").write_text("full_name,email_id\nAnn,a@b.c\nBob,\n")
     (tmp_path / "b.sql").write_text("CREATE TABLE t (contact_id INTEGER, email_address TEXT, city TEXT); INSERT INTO t VALUES (1, 'A@B.C ', 'Rome');")
