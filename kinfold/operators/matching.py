@@ -59,6 +59,17 @@ def match_edges(keys: DataFrame, start: int = 0) -> DataFrame:
     return out.withColumn("edge_id", tagged("EDGE", 6, F.col("step_order")))
 
 
+def edge_count(keys: DataFrame) -> DataFrame:
+    """``(total_edges)``: how many rows the edge log has, from the sizes of the values alone."""
+    sizes = keys.groupBy("identifier_type", "identifier_value").agg(F.count("*").cast("decimal(38,0)").alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long"), F.lit(0)).alias("total_edges"))
+
+
+def entity_keys(keys: DataFrame, labels: DataFrame, root: Column | int) -> DataFrame:
+    """The keys of one entity's records; its part of the edge log is :func:`match_edges` of them, but for the numbers."""
+    return keys.join(F.broadcast(labels.where(F.col("root") == root).select("seq")), "seq", "left_semi")
+
+
 def star_links(keys: DataFrame) -> DataFrame:
     """``(a, b)``: each record to the first record of each of its values; as many rows as keys, whatever their sizes."""
     first = keys.groupBy("identifier_type", "identifier_value").agg(F.min("seq").alias("b"), F.max("seq").alias("_last")).where("b <> _last")

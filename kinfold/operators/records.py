@@ -73,9 +73,15 @@ def canonicalize(source: Source) -> DataFrame:
         first.setdefault(t, c)
     ids = [raw[c] for c in RECORD_ID_HEADERS if c in raw]
     pairs = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v)]) if d else F.create_map().cast("map<string,string>")
-    numeric = lambda c: _kind(dict(df.dtypes)[c]) in ("int", "float")
-    ordered = [F.format_string("%020.3f", F.col(f"`{c}`").cast("double")) if numeric(c) else F.col(f"`{c}`").cast("string") for c in source.order]
-    key = F.concat_ws("\u0001", *ordered) if ordered else F.lit("")
+    # One shape for all sources, so that they can be one table: per column its value as a number, as a double and as text, in that order.
+    whole, real = "decimal(38,9)", ("float", "double")
+
+    def ordered(c: str) -> Column:
+        kind, value = dict(df.dtypes)[c], F.col(f"`{c}`")
+        number = value.cast(whole) if _kind(kind) in ("int", "float") and kind not in real else F.lit(None).cast(whole)
+        return F.struct(number.alias("whole"), (value.cast("double") if kind in real else F.lit(None).cast("double")).alias("real"), (F.lit(None).cast("string") if _kind(kind) in ("int", "float") else value.cast("string")).alias("text"))
+
+    key = F.array(*[ordered(c) for c in source.order]) if source.order else F.array().cast(f"array<struct<whole: {whole}, real: double, text: string>>")
     return df.select(
         F.lit(source.source_id).alias("source_id"),
         F.lit(source.part_id).alias("part_id"),

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators import master, matching, statistics, survivorship
+from kinfold.operators import master, matching, search, statistics, survivorship
 from kinfold.operators.records import Source, canonical_records
 from kinfold.plans.staging import staged
 
@@ -60,7 +60,13 @@ class Resolution:
 
     @cached_property
     def statistics(self) -> DataFrame:
-        return statistics.system_statistics(self.members, self.edges, self.master)
+        return statistics.system_statistics(self.members, matching.edge_count(self.keys), self.master)
+
+    def trace(self, field: str, value: str) -> DataFrame:
+        """How the records of the entity found by ``field`` were linked; only its own edges are made."""
+        root = search.entity_of(self.records, self.labels, field, value)
+        edges = matching.match_edges(matching.entity_keys(self.keys, self.labels, -1 if root is None else root))
+        return search.trace(self.records, self.labels, edges, field, value)
 
     def wide(self, where: Column | str | None = None) -> DataFrame:
         return master.wide_master(self.members, self.survivors, self.sources, where)

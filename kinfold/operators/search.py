@@ -29,6 +29,13 @@ def seeds(records: DataFrame, field: str, value: str) -> DataFrame:
     return records.where(F.lower(target).contains(want.lower()))
 
 
+def entity_of(records: DataFrame, labels: DataFrame, field: str, value: str) -> int | None:
+    """The root of the entity that the first matching record belongs to; None if nothing matches."""
+    first = seeds(records, field, value).orderBy("seq").limit(1).select("seq")
+    found = labels.join(F.broadcast(first), "seq").select("root").first()
+    return None if found is None else found["root"]
+
+
 def trace(records: DataFrame, labels: DataFrame, edges: DataFrame, field: str, value: str) -> DataFrame:
     """The match trail of the entity that the first matching record belongs to.
 
@@ -85,11 +92,15 @@ def search(provenance: DataFrame, members: DataFrame, records: DataFrame, labels
     return found.orderBy("_order").limit(1).select("entity_id", "how")
 
 
-def evidence(edges: DataFrame, members: DataFrame, entity_id: str | None = None) -> DataFrame:
-    """``(entity_id, identifier_type, identifier_value, match_confidence, links)``: what holds an entity together, each value once."""
-    own = members.select(F.col("seq").alias("seq_a"), "entity_id")
+def evidence(keys: DataFrame, members: DataFrame, entity_id: str | None = None) -> DataFrame:
+    """``(entity_id, identifier_type, identifier_value, match_confidence, links)``: what holds an entity together, each value once.
+
+    All records of a value lie in one entity, so its links follow from their number and no pair is made.
+    """
+    own = members.select("seq", "entity_id")
     own = own if entity_id is None else own.where(F.col("entity_id") == entity_id)
-    return edges.join(own, "seq_a").groupBy("entity_id", "identifier_type", "identifier_value").agg(F.max("match_confidence").alias("match_confidence"), F.count("*").alias("links"))
+    held = keys.join(own, "seq").groupBy("entity_id", "identifier_type", "identifier_value").agg(F.max("confidence").alias("match_confidence"), F.count("*").alias("n")).where("n > 1")
+    return held.withColumn("links", F.expr("n * (n - 1) div 2")).drop("n")
 
 
 def entity_records(records: DataFrame, members: DataFrame, entity_id: str) -> DataFrame:

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 
 def system_statistics(members: DataFrame, edges: DataFrame | None = None, quality: DataFrame | None = None) -> DataFrame:
-    """One row of counts over entities: records, entities, linked and single entities, edges, average cluster size and quality (1.0 if empty)."""
+    """One row of counts over entities: records, entities, linked and single entities, edges, average cluster size and quality (1.0 if empty).
+
+    ``edges`` is one row with ``total_edges``, which needs no edge log (see :func:`matching.edge_count`).
+    """
     sizes = members.groupBy("entity_id").agg(F.count("*").alias("n"))
     out = sizes.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_records"), F.count("*").alias("total_entities"), F.count_if(F.col("n") > 1).alias("linked_entities"), F.count_if(F.col("n") == 1).alias("single_entities"),
         F.coalesce(F.round(F.avg("n"), 2), F.lit(1.0)).alias("average_cluster_size"),
     )
     if edges is not None:
-        out = out.crossJoin(edges.agg(F.count("*").alias("total_edges")))
+        out = out.crossJoin(edges.select("total_edges"))
     if quality is not None:
         out = out.crossJoin(quality.agg(F.coalesce(F.round(F.avg("entity_quality_score"), 2), F.lit(1.0)).alias("average_quality")))
     return out

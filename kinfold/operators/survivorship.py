@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.normalize import normalize
-from kinfold.functions.text import is_blank, slug
+from kinfold.functions.text import is_blank, slug, strip
 from kinfold.operators.numbering import numbered, tagged
 from kinfold.plans.vocabulary import FIELDS, INTERNAL
 
@@ -16,15 +16,43 @@ TEMPORAL_NAME = r"(?i)(last_active|last_seen|last_login|updated_at|created_at|ti
 LONGER_IS_BETTER = ("name", "address", "company", "notes", "business_name", "category")
 IDENTIFIERS_SHOWN_NORMAL = ("email", "aadhaar", "sku", "barcode")
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+#: Other ways in which dates are written, and how each is read; where day and month could be either, the month is first.
+#: A time after a date is read as well. Month names are English, in any case.
+_CLOCK = r"(?:[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?))?$"
+_DATES = (
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "yMd"), (r"^(\d{4})-(\d{1,2})-(\d{1,2})", "yMd"), (r"^(\d{4})(\d{2})(\d{2})", "yMd"), (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", "Mdy"),
+    (r"^(\d{1,2})[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})", "dNy"), (r"^([A-Za-z]{3,9})\.? (\d{1,2}),? (\d{4})", "Ndy"), (r"^(\d{4})[ -]([A-Za-z]{3,9})\.?[ -](\d{1,2})", "yNd"),
+)
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def _written(raw: Column) -> Column:
+    """The ISO text of a date in one of the ways above, else null."""
+    found = F.lit(None).cast("string")
+    for pattern, order in _DATES[::-1]:
+        whole = pattern + _CLOCK
+        part = {kind: F.regexp_extract(raw, whole, k + 1) for k, kind in enumerate(order)}
+        if "N" in part:
+            name = F.lower(part["N"])
+            part["M"] = F.coalesce(*[F.when(name.isin(m, m[:3], "sept" if m[:3] == "sep" else m), F.lit(str(k + 1))) for k, m in enumerate(_MONTHS)])
+        month, day = part["M"], part["d"]
+        if order == "Mdy":  # a first number above twelve is a day
+            swapped = part["M"].try_cast("int") > 12
+            month, day = F.when(swapped, part["d"]).otherwise(part["M"]), F.when(swapped, part["M"]).otherwise(part["d"])
+        clock = F.regexp_extract(raw, whole, 4)
+        clock = F.when(clock == "", "00:00").when(F.length(F.substring_index(clock, ":", 1)) == 1, F.concat(F.lit("0"), clock)).otherwise(clock)
+        text = F.concat(part["y"], F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), clock)
+        found = F.when(raw.rlike(whole), text).otherwise(found)
+    return found
 
 
 def time_key(raw: Column, kind: Column) -> Column:
     """Nanoseconds since 1970 of a value that reads as a time, else null.
 
-    ISO dates and times and four-digit years are read from text; numbers count as nanoseconds, floats cut to
-    whole ones; booleans are no times.
+    ISO dates and times, four-digit years and the commoner other ways of writing dates are read from text; numbers
+    count as nanoseconds, floats cut to whole ones; booleans are no times.
     """
-    text = F.when(raw.rlike(r"^\d{4}$"), F.concat(raw, F.lit("-01-01"))).when(raw.rlike(_ISO), raw)
+    text = F.when(raw.rlike(r"^\d{4}$"), F.concat(raw, F.lit("-01-01"))).when(raw.rlike(_ISO), raw).otherwise(_written(strip(raw)))
     # Nanoseconds in decimal, as years beyond 2262 would not fit a long.
     at = (F.unix_micros(F.try_to_timestamp(text)).cast("decimal(30,0)") * 1000).cast("decimal(30,0)")
     return F.when(kind.isin("int", "float"), F.floor(raw.try_cast("double")).cast("decimal(30,0)")).when(kind == "text", at)

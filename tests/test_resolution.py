@@ -51,11 +51,13 @@ def test_wide_master(demo):
 
 
 def test_replay_and_search(demo):
-    steps = search.trace(demo.records, demo.labels, demo.edges, "email", "AMIT@x.com").orderBy("step_number").collect()
+    whole = search.trace(demo.records, demo.labels, demo.edges, "email", "AMIT@x.com").orderBy("step_number").collect()
+    steps = demo.trace("email", "AMIT@x.com").orderBy("step_number").collect()
+    assert steps == whole
     assert [s.identifier_type for s in steps] == [None, "email", "phone", "aadhaar"] and steps[0].cluster_size == 2 and steps[1].source_dataset == "src_b"
     assert search.search(demo.provenance, demo.members, demo.records, demo.labels, "phone", "98765 43210").first().entity_id == "ENT_00001"
     assert search.search(demo.provenance, demo.members, demo.records, demo.labels, "email", " - ").count() == 0
-    assert search.trace(demo.records, demo.labels, demo.edges, "email", "nobody@x.com").count() == 0
+    assert demo.trace("email", "nobody@x.com").count() == 0
 
 
 def partition_of(r):
@@ -118,3 +120,12 @@ def test_repository_round_trip(spark, demo, tmp_path):
     assert repo.sql("SELECT count(*) FROM t_entity_members WHERE source_id = :s", {"s": "src_a"}).first()[0] == 3
     repo.reset()
     assert repo.read("master_entities").count() == 0
+
+
+def test_rows_follow_typed_order(spark):
+    rows = [(-5, 1.5, "b"), (10, -2.0, "a"), (9, 0.0, "c"), (-50, 3.0, "d"), (9007199254740993, 1.0, "e"), (9007199254740992, 1.0, "f"), (None, 1.0, "g")]
+    df = spark.createDataFrame(rows, "n long, x double, tag string")
+    for order, want in ((("n",), "gdbcafe"), (("x",), None), (("tag",), "abcdefg")):
+        r = resolve([Source("s", df, {}, order=(*order, "tag"))])
+        got = "".join(x.t for x in r.records.orderBy("seq").selectExpr("raw['tag'] as t").collect())
+        assert got == want if want else got[0] == "a" and got[-1] == "d"

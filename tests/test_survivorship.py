@@ -1,6 +1,9 @@
+from datetime import datetime, timezone
+
+import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import master
+from kinfold.operators import master, survivorship
 from kinfold.operators.survivorship import survivors
 
 SCHEMA = "entity_id string, attribute string, seq long, ord int, raw_value string, norm_value string, kind string, source_id string, record_uuid string, source_column string"
@@ -47,3 +50,13 @@ def test_equivalence_keys(spark):
     df = spark.createDataFrame([(x,) for x in rows], "v string")
     k = [r[0] for r in df.select(master.equivalence_key(F.col("v"))).collect()]
     assert k[0] == k[1] and k[2] == k[3] and k[4] == "text:a b" and k[5] == k[6] == ""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("2024/01/05", "2024-01-05 00:00:00"), ("05-Jan-2024", "2024-01-05 00:00:00"), ("Sept. 3, 2023", "2023-09-03 00:00:00"), ("03/04/2023", "2023-03-04 00:00:00"), ("25/12/2023 9:05", "2023-12-25 09:05:00"), ("20230704", "2023-07-04 00:00:00"),
+     ("7 July 2023 10:11:12", "2023-07-07 10:11:12"), ("2023-7-4", "2023-07-04 00:00:00"), ("2024", "2024-01-01 00:00:00"), ("13/13/2023", None), ("Foo 3, 2023", None), ("12345678", None), ("2023-02-30", None), ("hello", None), ("10 Main 2020", None)],
+)
+def test_dates_as_they_are_written(spark, text, want):
+    got = spark.createDataFrame([(text,)], "x string").select(survivorship.time_key(F.col("x"), F.lit("text")).alias("t")).first().t
+    assert (None if got is None else str(datetime.fromtimestamp(int(got) // 10**9, timezone.utc))[:19]) == want
