@@ -18,8 +18,9 @@ from kinfold.functions.text import MATCH_NULL_LITERALS, is_blank
 from kinfold.operators import features, jobs, linkage_models, master, matching, search, statistics, survivorship
 from kinfold.operators.records import Source, canonical_records
 from kinfold.operators.resolve import Resolution, extend, resolve
-from kinfold.plans.mapping import HeaderMapper
+from kinfold.plans.mapping import HeaderMapper, compatibility, previews, validate
 from kinfold.plans.staging import shared_dir, staged
+from kinfold.plans.vocabulary import HEADER_SYNONYMS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,7 +285,7 @@ def shared_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("system_stats", people("SELECT (SELECT count(*) FROM rec) AS total_records, count(*) AS total_entities, count(*) FILTER (n > 1) AS linked_entities, count(*) FILTER (n = 1) AS single_entities, round(avg(n), 2) AS average_cluster_size, (SELECT count(*) FROM edge) AS total_edges FROM (SELECT root, count(*) AS n FROM lab GROUP BY root)"))
 def system_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolution(spark, sf_dir)
-    return statistics.system_statistics(r.members, r.edges)
+    return statistics.system_statistics(r.members, matching.edge_count(r.keys))
 
 
 @query("dedup_kpis", people("SELECT greatest(0, r - e) AS duplicates_resolved, round((r - e) / r * 100, 1) AS reduction_pct, r - s AS matched_rows FROM (SELECT (SELECT count(*) FROM rec) AS r, count(*) AS e, count(*) FILTER (n = 1) AS s FROM (SELECT root, count(*) AS n FROM lab GROUP BY root))"))
@@ -386,9 +387,25 @@ def golden_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution(spark, sf_dir).master.select("entity_id", *survivorship.GOLDEN)
 
 
-@query("quality_score", people("SELECT entity_id, count(DISTINCT attribute) AS attributes, round(count(DISTINCT attribute) / count(DISTINCT attribute), 2) AS entity_quality_score FROM entries GROUP BY entity_id", PEOPLE_ENTRIES_SQL))
+@query("quality_score", ORDER_ENTRIES_SQL + """, x AS (SELECT entity_id, attribute, true AS resolves FROM entries UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'phone', o_custkey % 3 <> 0 FROM orders)
+SELECT entity_id, count(DISTINCT attribute) FILTER (resolves) AS attributes, round(count(DISTINCT attribute) FILTER (resolves) / count(DISTINCT attribute), 2) AS entity_quality_score FROM x GROUP BY entity_id""")
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution(spark, sf_dir).master.select("entity_id", F.size("attributes").cast("long").alias("attributes"), "entity_quality_score")
+    """Customers' attributes, and a phone that for every third of them has no digit and so resolves to nothing."""
+    entries = order_entries(spark, sf_dir)
+    phone = F.when(F.col("entity_id").cast("long") % 3 == 0, "ask").otherwise("555-0100")
+    entries = entries.unionByName(entries.where("attribute = 'status'").withColumns({"attribute": F.lit("phone"), "raw_value": phone, "norm_value": phone, "source_column": F.lit("phone")}))
+    members = entries.select("entity_id", "seq").distinct()
+    return survivorship.master_entities(members, entries, survivorship.survivors(entries)).select("entity_id", F.size("attributes").cast("long").alias("attributes"), "entity_quality_score")
+
+
+@query("dates_as_written", "SELECT o_orderkey, epoch_us(CAST(date_trunc('day', o_orderdate) AS TIMESTAMP)) + CASE WHEN o_orderkey % 9 = 8 THEN 47100000000 ELSE 0 END AS micros FROM orders WHERE o_orderkey % 9 <> 7")
+def dates_as_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates in eight ways of writing them, read back; a ninth is no date."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 9
+    ways = ("yyyy/MM/dd", "dd-MMM-yyyy", "MMM d, yyyy", "MM/dd/yyyy", "yyyyMMdd", "d MMMM yyyy", "yyyy.M.d", "'on' yyyy", "yyyy-MM-dd'T13:05'")
+    text = F.coalesce(*[F.when(k == j, F.date_format(d, way)) for j, way in enumerate(ways)])
+    read = _read(spark, sf_dir, "orders").select("o_orderkey", survivorship.time_key(text, F.lit("text")).alias("t"))
+    return read.where("t IS NOT NULL").select("o_orderkey", (F.col("t") / 1000).cast("long").alias("micros"))
 
 
 @query("source_list", people("SELECT entity_id, string_agg(DISTINCT CASE s WHEN 0 THEN 'CRM' WHEN 1 THEN 'Orders' ELSE 'Events' END, ', ' ORDER BY CASE s WHEN 0 THEN 'CRM' WHEN 1 THEN 'Orders' ELSE 'Events' END) AS sources FROM ent JOIN rec ON ent.seq = rec.seq GROUP BY entity_id"))
@@ -406,6 +423,27 @@ def wide_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.wide().select("entity_id", "cluster_size", *WIDE)
 
 
+@query("wide_columns", people("SELECT CAST(row_number() OVER (ORDER BY coalesce(nullif(list_position(['name', 'sku', 'barcode', 'price', 'stock', 'uid', 'username', 'email', 'phone', 'aadhaar', 'member_id', 'city', 'address'], attribute), 0), CASE attribute WHEN 'notes' THEN 50 ELSE 99 END), attribute) - 1 AS INT) AS place, attribute FROM (SELECT DISTINCT attribute FROM shown WHERE trim(resolved_value) <> '')", PEOPLE_ENTRIES_SQL))
+def wide_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attribute that some entity fills is a column, in the order shown."""
+    return spark.createDataFrame(list(enumerate(resolution(spark, sf_dir).wide().columns[3:])), "place int, attribute string")
+
+
+_EXPORTED = ", ".join(f"max(resolved_value) FILTER (attribute = '{c}') AS {c}" for c in WIDE)
+
+
+@query("export_round_trip", people(f"SELECT e.entity_id, {_EXPORTED} FROM (SELECT DISTINCT entity_id FROM ent) e JOIN shown s ON e.entity_id = s.entity_id GROUP BY e.entity_id", PEOPLE_ENTRIES_SQL))
+def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide master as it is exported, read back as text; blanks come back as nulls."""
+    import uuid
+
+    from kinfold.sources.files import read_csv, write_export
+
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    write_export(resolution(spark, sf_dir).wide(), path)
+    return read_csv(spark, path).select("entity_id", *WIDE)
+
+
 def _attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     price, k = F.col("p_retailprice"), F.col("p_partkey")
@@ -453,19 +491,19 @@ def search_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM edge JOIN ent ON edge.seq_a = ent.seq WHERE root = (SELECT root FROM ent WHERE seq = (SELECT min(seq) FROM rec WHERE phone = '9000000042'))) e)"""))
 def replay_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolution(spark, sf_dir)
-    return search.trace(r.records, r.labels, r.edges, "phone", "9000000042").drop("action")
+    return r.trace("phone", "9000000042").drop("action")
 
 
 @query("entity_evidence", people("SELECT entity_id, identifier_type, identifier_value, max(match_confidence) AS match_confidence, count(*) AS links FROM edge JOIN ent ON seq_a = seq GROUP BY ALL"))
 def entity_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolution(spark, sf_dir)
-    return search.evidence(r.edges, r.members)
+    return search.evidence(r.keys, r.members)
 
 
-@query("search_fields", people("SELECT unnest(['email', 'phone', 'aadhaar', 'username', 'member_id', 'name', 'city', 'address', 'notes', 'k', 'cust_id', 'full_name', 'email_address', 'phone_no', 'street_address', 'national_id', 'segment', 'user_email', 'contact_no', 'member_code', 'join_date', 'last_active_date', 'n_events']) AS field"))
+@query("search_fields", people("SELECT field, CAST(coalesce(nullif(list_position(['email', 'phone', 'aadhaar', 'username', 'uid', 'member_id', 'sku', 'barcode', 'name'], field), 0), 10) - 1 AS INT) AS place FROM (SELECT unnest(['email', 'phone', 'aadhaar', 'username', 'member_id', 'name', 'city', 'address', 'notes', 'k', 'cust_id', 'full_name', 'email_address', 'phone_no', 'street_address', 'national_id', 'segment', 'user_email', 'contact_no', 'member_code', 'join_date', 'last_active_date', 'n_events']) AS field)"))
 def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolution(spark, sf_dir)
-    return search.search_fields(r.records, r.provenance).select("field")
+    return search.search_fields(r.records, r.provenance)
 
 
 # --- similarity, pairs, models --------------------------------------------------------------------------------
@@ -488,8 +526,33 @@ _similarity("levenshtein", sim.levenshtein_similarity, "1 - levenshtein(lower(x)
 _similarity("token_jaccard", sim.token_jaccard, "len(list_intersect(list_distinct(regexp_extract_all(lower(x), '\\w+')), list_distinct(regexp_extract_all(lower(y), '\\w+')))) / len(list_distinct(regexp_extract_all(lower(x), '\\w+') || regexp_extract_all(lower(y), '\\w+')))")
 _similarity("exact", sim.exact, "CASE WHEN lower(x) = lower(y) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 _similarity("year_match", sim.year_match, "CASE WHEN substr(x, 1, 4) = substr(y, 1, 4) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
-_similarity("soundex", sim.soundex_equal, None)
+
+
+def _soundex_sql(x: str) -> str:
+    """The Soundex code of a text in SQL: letters to digits, H and W dropped, runs collapsed, vowels dropped."""
+    coded = f"translate(regexp_replace(upper({x}), '[^A-Z]', '_', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ_', '012301270224550126230172020')"
+    folded = f"{coded}[1] || replace({coded}[2:], '7', '')"
+    for digit in "0123456":
+        folded = f"regexp_replace({folded}, '{digit}+', '{digit}', 'g')"
+    return f"CASE WHEN regexp_matches(upper({x}), '^[A-Z]') THEN upper({x})[1] || rpad(left(replace(({folded})[2:], '0', ''), 3), 3, '0') ELSE {x} END"
+
+
+def _jaro_winkler_sql(pairs: str) -> str:
+    """Tables over ``pairs(id, x, y)`` (stripped lower case), the last of which is ``jw(id, similarity)``: one step per character of x, which takes its first free match."""
+    return f"""jw_pairs AS ({pairs}), jw_todo AS (SELECT id, x, y, length(x) AS n, length(y) AS m, greatest(length(x), length(y)) // 2 - 1 AS reach FROM jw_pairs WHERE x <> '' AND y <> '' AND x <> y),
+jw_steps AS (
+  SELECT id, x, y, n, m, reach, 0::BIGINT AS i, repeat('0', m::INT) AS used, '' AS mine FROM jw_todo
+  UNION ALL SELECT id, x, y, n, m, reach, i + 1, CASE WHEN j IS NULL THEN used ELSE used[:j - 1] || '1' || used[j + 1:] END, CASE WHEN j IS NULL THEN mine ELSE mine || x[i + 1] END FROM (
+    SELECT *, list_filter(range(greatest(1, i + 1 - reach), least(m, i + 1 + reach) + 1), lambda k: used[k] = '0' AND y[k] = x[i + 1])[1] AS j FROM jw_steps WHERE i < n)
+), jw_ends AS (SELECT *, array_to_string(list_transform(list_filter(range(1, m + 1), lambda k: used[k] = '1'), lambda k: y[k]), '') AS theirs, len(mine) AS c FROM jw_steps WHERE i = n),
+jw_jaro AS (SELECT id, x, y, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE (c / n + c / m + (c - len(list_filter(range(1, c + 1), lambda k: mine[k] <> theirs[k])) / 2) / c) / 3 END AS jaro,
+  len(list_filter([1, 2, 3, 4], lambda k: k <= n AND k <= m AND x[:k] = y[:k])) AS prefix FROM jw_ends),
+jw AS (SELECT id, jaro + prefix * 0.1::DOUBLE * (1 - jaro) AS similarity FROM jw_jaro UNION ALL SELECT id, CASE WHEN x <> '' AND x = y THEN 1.0 ELSE 0.0 END FROM jw_pairs WHERE x = '' OR y = '' OR x = y)"""
+
+
+_similarity("soundex", sim.soundex_equal, f"CASE WHEN lower({_soundex_sql('x')}) = lower({_soundex_sql('y')}) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END")
 _similarity("jaro_winkler", sim.jaro_winkler, None)
+SQL["sim_jaro_winkler"] = f"WITH RECURSIVE {_jaro_winkler_sql(f'SELECT id, lower(x) AS x, lower(y) AS y FROM ({_PAIRS_SQL})')} SELECT id, similarity FROM jw"
 
 
 def linkage_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -525,7 +588,28 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.pair_features(pairs.withColumn("match_label", (F.substring("rec_id_a", 2, 20) == F.substring("rec_id_b", 2, 20)).cast("int")), a, b)
 
 
-@query("pair_features")
+def _features_sql() -> str:
+    """Tables after those of the people's records, the last of which is ``f``: the 24 features of each pair, its passes and label."""
+    fields = {"given_name": "gn", "surname": "sn", "suburb": "sub"}
+    sides = "gn || ' ' || sn AS full_name, (k % 50) || ' high street' AS adr, CAST(k % 50 AS VARCHAR) AS num"
+    exact = lambda c: f"CASE WHEN a.{c} = b.{c} AND a.{c} <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+    lev = lambda c: f"CASE WHEN a.{c} = '' OR b.{c} = '' THEN 0.0::DOUBLE ELSE round(1 - levenshtein(a.{c}, b.{c}) / greatest(length(a.{c}), length(b.{c})), 4) END"
+    jw = lambda name: f"(SELECT round(similarity, 4) FROM jw WHERE jw.id = a.k || '/' || b.k || '/{name}')"
+    compared = {"given_name": "gn", "surname": "sn", "suburb": "sub", "full_name": "full_name", "address_1": "adr"}
+    todo = " UNION ALL ".join(f"SELECT ak || '/' || bk || '/{name}' AS id, a.{c} AS x, b.{c} AS y FROM pairs JOIN a2 a ON a.k = ak JOIN b2 b ON b.k = bk" for name, c in compared.items())
+    words = [f"list_distinct(regexp_extract_all({x}.adr, '\\w+'))" for x in "ab"]
+    made = {f"{n}_{kind}": sql for n, c in fields.items() for kind, sql in (("jw", jw(n)), ("lev", lev(c)), ("exact", exact(c)))} | {
+        "given_name_soundex": f"CASE WHEN {_soundex_sql('a.gn')} = {_soundex_sql('b.gn')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "surname_soundex": f"CASE WHEN {_soundex_sql('a.sn')} = {_soundex_sql('b.sn')} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+        "full_name_jw": jw("full_name"), "address_1_jw": jw("address_1"), "address_1_lev": lev("adr"), "address_1_jaccard": f"round(len(list_intersect({words[0]}, {words[1]})) / len(list_distinct({words[0]} || {words[1]})), 4)",
+        "street_number_exact": exact("num"), "postcode_exact": exact("pc"), "postcode_lev": lev("pc"), "state_exact": exact("st"), "dob_exact": exact("dob"), "dob_lev": lev("dob"), "dob_year_match": "CASE WHEN left(a.dob, 4) = left(b.dob, 4) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+        "ssn_exact": exact("ssn"), "ssn_lev": lev("ssn"),
+    }
+    more = ", ".join(f"{x}2 AS (SELECT {x}.*, {sides}, CAST(c_nationkey AS VARCHAR) AS st FROM {x} JOIN customer ON c_custkey = k)" for x in "ab")
+    shown = ", ".join(f"{sql} AS {name}" for name, sql in made.items())
+    return f"{_PEOPLE_RECORDS_SQL}, {more}, {_jaro_winkler_sql(todo)}, f AS (SELECT 'a' || ak AS rec_id_a, 'b' || bk AS rec_id_b, {shown}, CAST(n AS INT) AS num_passes_triggered, CASE WHEN ak = bk THEN 1 ELSE 0 END AS match_label FROM pairs JOIN a2 a ON a.k = ak JOIN b2 b ON b.k = bk)"
+
+
+@query("pair_features", f"WITH RECURSIVE {_features_sql()} SELECT * FROM f")
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir)
 
@@ -537,7 +621,12 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.class_balance(pairs.withColumn("match_label", (F.substring("rec_id_a", 2, 20) == F.substring("rec_id_b", 2, 20)).cast("int"))).drop("imbalance")
 
 
-@query("feature_stats")
+_STATS_SQL = """, l AS (SELECT match_label, unnest(map_entries(MAP {%s}), recursive := true) FROM f)
+SELECT key AS feature, round(coalesce(avg(value) FILTER (match_label = 1), 0), 4) AS mean_match, round(coalesce(avg(value) FILTER (match_label = 0), 0), 4) AS mean_non_match, round(coalesce(avg(value) FILTER (match_label = 1), 0) - coalesce(avg(value) FILTER (match_label = 0), 0), 4) AS delta_mean,
+  round(coalesce(stddev_samp(value) FILTER (match_label = 1), 0), 4) AS std_match, round(coalesce(stddev_samp(value) FILTER (match_label = 0), 0), 4) AS std_non_match FROM l GROUP BY key"""
+
+
+@query("feature_stats", f"WITH RECURSIVE {_features_sql()}" + _STATS_SQL % ", ".join(f"'{c}': {c}::DOUBLE" for c in features.FEATURES))
 def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.feature_statistics(_features(spark, sf_dir))
 
@@ -552,6 +641,18 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage_models.classification_metrics(scored)
 
 
+@query("evaluation_table", """SELECT 'no_ssn' AS regime, 'Random Forest' AS model, printf('%.2f%%', 100 * round(count(*) FILTER (y = 1 AND z = 1) / count(*) FILTER (z = 1), 4)) AS "precision", printf('%.2f%%', 100 * round(count(*) FILTER (y = 1 AND z = 1) / count(*) FILTER (y = 1), 4)) AS recall, count(*) FILTER (y = 1 AND z = 1) AS tp, count(*) FILTER (y = 0 AND z = 1) AS fp
+FROM (SELECT quality AS y, CASE WHEN (doc_id * 37 % 101) / 100.0::DOUBLE >= 0.6 THEN 1 ELSE 0 END AS z FROM labels)""")
+def evaluation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage_models.evaluation_table({("no_ssn", "rf"): classification_metrics(spark, sf_dir)}).select("regime", "model", "precision", "recall", "tp", "fp")
+
+
+@query("prediction_summary", "SELECT count(*) AS total_pairs, count(*) FILTER (q >= 0.6) AS predicted_matches, count(*) FILTER (q < 0.6) AS predicted_non_matches, round(avg(q), 4) AS mean_probability FROM (SELECT (doc_id * 37 % 101) / 100.0::DOUBLE AS q FROM labels)")
+def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = (F.col("doc_id") * 37 % 101) / 100.0
+    return linkage_models.prediction_summary(_read(spark, sf_dir, "labels").select(q.alias("match_probability"), (q >= 0.6).cast("int").alias("predicted_match")))
+
+
 @query("error_analysis", "SELECT doc_id, CASE WHEN quality = 0 THEN 'FP' ELSE 'FN' END AS error FROM labels WHERE (quality = 0) = (doc_id % 3 = 0) AND quality IN (0, 1)")
 def error_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("match_label"), (F.col("doc_id") % 3 == 0).cast("int").alias("predicted_match"))
@@ -579,6 +680,44 @@ def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p.raw_column, p.suggested_canonical, p.confidence) for p in found.values()], "raw_column string, suggested_canonical string, confidence double")
 
 
+_NAMED = ", ".join(f"({k}, '{target}', '{name}')" for k, (target, names) in enumerate(HEADER_SYNONYMS.items()) for name in names)
+
+
+@query("header_synonyms", f"SELECT name AS raw_column, coalesce(max(target) FILTER (target = name), arg_min(target, place)) AS suggested_canonical, 1.0::DOUBLE AS confidence FROM (VALUES {_NAMED}) t(place, target, name) GROUP BY name")
+def header_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed name by itself: a target's own name is that target, any other goes to the first target that lists it."""
+    mapper = HeaderMapper()
+    found = [mapper.propose_one(n) for n in sorted({n for names in HEADER_SYNONYMS.values() for n in names})]
+    return spark.createDataFrame([(p.raw_column, p.suggested_canonical, p.confidence) for p in found], "raw_column string, suggested_canonical string, confidence double")
+
+
+@query("header_collisions", "SELECT * FROM (VALUES ('e_mail', 'unmapped', true), ('email', 'email', true), ('cell', 'phone', true), ('phone_number', 'unmapped', true), ('lat', 'latitude', false), ('aisle', 'unmapped', false)) t(raw_column, target, is_ambiguous)")
+def header_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of several columns for a target one keeps it, and all of them are flagged."""
+    found = HeaderMapper().propose(["e_mail", "email", "cell", "phone_number", "lat", "aisle"])
+    return spark.createDataFrame([(p.raw_column, p.suggested_canonical, p.is_ambiguous) for p in found.values()], "raw_column string, target string, is_ambiguous boolean")
+
+
+@query("mapping_checks", "SELECT * FROM (VALUES ('good', 0, true, 'email'), ('bad', 3, false, '')) t(mapping, n_errors, compatible, shared)")
+def mapping_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of two mappings, and what each shares with a third."""
+    given = {"good": {"a": "email", "b": "city"}, "bad": {"a": "city", "b": "city", "c": "unmapped"}}
+    rows = []
+    for name, mapping in given.items():
+        alike, shared = compatibility({"x": mapping, "y": {"m": "email", "p": "phone"}})
+        rows.append((name, len(validate(mapping, ("a", "b"))), alike, ",".join(shared)))
+    return spark.createDataFrame(rows, "mapping string, n_errors int, compatible boolean, shared string")
+
+
+@query("column_previews", """WITH v AS (SELECT * FROM (SELECT 'late' AS "column", c_name AS value, c_custkey AS k FROM customer WHERE c_custkey % 400 = 399 UNION ALL SELECT 'segment', c_mktsegment, c_custkey FROM customer) QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY k) <= 3)
+SELECT c.name AS "column", coalesce((SELECT string_agg(value, ',' ORDER BY k) FROM v WHERE "column" = c.name), '') AS "values" FROM (SELECT unnest(['late', 'segment', 'none']) AS name) c""")
+def column_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three filled values of each column, however late in the table."""
+    k = F.col("c_custkey")
+    df = _read(spark, sf_dir, "customer").coalesce(1).sortWithinPartitions(k).select(F.when(k % 400 == 399, F.col("c_name")).otherwise("n/a").alias("late"), F.col("c_mktsegment").alias("segment"), F.lit(" ").alias("none"))
+    return spark.createDataFrame([(c, ",".join(v)) for c, v in previews(df).items()], "column string, values string")
+
+
 @query("job_recovery", "SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CASE WHEN o_orderkey % 3 = 0 THEN 'PAUSED_RECOVERABLE' ELSE 'FAILED_INTERRUPTED' END AS status FROM orders WHERE o_orderstatus IN ('O', 'P')")
 def job_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
@@ -609,7 +748,7 @@ def incremental_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extend(resolve([first]), later).labels.select("seq", "root")
 
 
-@query("search_by_id", people("SELECT 'ENT_00007' AS entity_id, 'id' AS how"))
+@query("search_by_id", people("SELECT DISTINCT entity_id, 'id' AS how FROM ent WHERE entity_id = 'ENT_00007'"))
 def search_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = resolution(spark, sf_dir)
     return search.search(r.provenance, r.members, r.records, r.labels, "entity_id", "ENT_00007")
@@ -627,12 +766,21 @@ def valid_only_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.keys.select("seq", "identifier_type", "identifier_value")
 
 
-@query("keyed_upsert", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS segment FROM customer UNION ALL SELECT s_suppkey + 10000000, s_name FROM supplier")
+@query("keyed_upsert", "SELECT 'c' || c_custkey AS source_id, CASE WHEN c_custkey % 5 = 0 THEN 'UPDATED' ELSE c_mktsegment END AS source_name FROM customer UNION ALL SELECT 's' || s_suppkey, max(n) FROM (SELECT s_suppkey, s_name AS n FROM supplier UNION ALL SELECT s_suppkey, 'Z' || s_name FROM supplier WHERE s_suppkey % 2 = 0) GROUP BY ALL")
 def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a key replaced, others kept, new ones added: what a repository's upsert writes."""
-    old = _read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
-    new = old.where(F.col("c_custkey") % 5 == 0).withColumn("segment", F.lit("UPDATED")).unionByName(_read(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10000000).alias("c_custkey"), F.col("s_name").alias("segment")))
-    return old.join(new.select("c_custkey"), "c_custkey", "left_anti").unionByName(new)
+    """A repository's table after an upsert: rows of a key replaced, others kept, new ones added, of repeated new keys the last."""
+    import uuid
+
+    from kinfold.sources.repository import Repository
+
+    repo = Repository(spark, f"{shared_dir(spark)}/repository-{uuid.uuid4().hex}")
+    old = _read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), _str("c_custkey")).alias("source_id"), F.col("c_mktsegment").alias("source_name"), "c_custkey")
+    named = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), _str("s_suppkey")).alias("source_id"), F.col("s_name").alias("source_name"), "s_suppkey")
+    again = named.where("s_suppkey % 2 = 0").withColumn("source_name", F.concat(F.lit("Z"), "source_name"))
+    changed = old.where("c_custkey % 5 = 0").withColumn("source_name", F.lit("UPDATED"))
+    repo.append("data_sources", old)
+    repo.upsert("data_sources", changed.drop("c_custkey").unionByName(named.unionByName(again).drop("s_suppkey")), "source_id")
+    return repo.read("data_sources").select("source_id", "source_name")
 
 
 @query("csv_round_trip", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type FROM part")
@@ -647,9 +795,9 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path)
 
 
-@query("token_sets", "SELECT p_partkey, list_sort(list_intersect(a, b)) AS shared, len(list_distinct(a || b)) AS n_all, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS n_only FROM (SELECT p_partkey, string_split(lower(p_name), ' ') AS a, string_split(lower(p_type), ' ') AS b FROM part)")
+@query("token_sets", "SELECT p_partkey, list_sort(list_intersect(a, b)) AS shared, len(list_distinct(a || b)) AS n_all, len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) AS n_only FROM (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '\\w+')) AS a, list_distinct(regexp_extract_all(lower(p_type), '\\w+')) AS b FROM part)")
 def token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (F.split(F.lower(c), " ") for c in ("p_name", "p_type"))
+    a, b = (sim.tokens(F.col(c)) for c in ("p_name", "p_type"))
     return _read(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("n_all"), F.size(F.array_except(a, b)).alias("n_only"))
 
 
