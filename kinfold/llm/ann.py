@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import stash
@@ -20,10 +20,10 @@ AUDIT_EVERY = 6
 #: Neighbours in the sample's graph.
 GRAPH_K = 10
 #: Distinct vectors in a partition, about, and partitions of a level, at most: beyond their product there are two levels.
-LEAF_ROWS = 4096
+LEAF_ROWS = 2048
 FAN = 64
 #: Share of the true neighbours that routing must find for the audit's queries; it fixes the number of probes.
-RECALL = 0.95
+RECALL = 0.93
 #: Rows of a block of candidates that a task holds while the queries pass by.
 BLOCK = 8192
 
@@ -179,11 +179,16 @@ class Partitions:
         return float((needed < self.probes).mean())
 
 
+def _near(most: int, count: Column | int) -> Column:
+    """Whether a row's hash is among about the smallest ``2 * most`` of ``count`` rows."""
+    return F.pmod("mark", F.lit(1 << 30)) < (F.lit(2.0 * most + 200) / count) * (1 << 30)
+
+
 def _thinned(rows: DataFrame, by: str, most: int) -> DataFrame:
     """At most ``most`` rows ``(by, v)`` of each value of ``by``, those of smallest hash; a threshold thins them before any task ranks them."""
     size = rows.groupBy(by).count()
-    near = rows.withColumn("mark", F.xxhash64("h", F.lit(5))).join(F.broadcast(size), by).where(F.pmod("mark", F.lit(1 << 30)) < (F.lit(2.0 * most + 200) / F.col("count")) * (1 << 30))
-    return near.selectExpr(by, "v", "node", f"row_number() over (partition by {by} order by pmod(mark, {1 << 30}), h, node) as place").where(F.col("place") <= most)
+    near = rows.withColumn("mark", F.xxhash64("h", F.lit(5))).join(F.broadcast(size), by).where(_near(most, F.col("count")))
+    return near.selectExpr(by, "v", f"row_number() over (partition by {by} order by pmod(mark, {1 << 30}), h, node) as place").where(F.col("place") <= most)
 
 
 def partitions(nodes: DataFrame, total: int, k: int, leaf_rows: int = LEAF_ROWS) -> Partitions:
@@ -194,7 +199,8 @@ def partitions(nodes: DataFrame, total: int, k: int, leaf_rows: int = LEAF_ROWS)
     """
     parts = min(FAN, max(1, -(-total // leaf_rows)))
     inner = min(FAN, -(-total // (parts * leaf_rows))) if parts == FAN else 1
-    got = matrix(_thinned(nodes.withColumn("all", F.lit(0)), "all", SAMPLE_ROWS).orderBy("place").select("v").toArrow().column("v"))
+    marked = nodes.withColumn("mark", F.xxhash64("h", F.lit(5))).where(_near(SAMPLE_ROWS, max(1, total)))
+    got = matrix(marked.orderBy(F.pmod("mark", F.lit(1 << 30)), "h", "node").limit(SAMPLE_ROWS).select("v").toArrow().column("v"))
     asks = np.arange(len(got)) % AUDIT_EVERY == AUDIT_EVERY - 1
     found = Partitions(learn(got[~asks], parts, k), parts=parts, inner=inner if parts > 1 else 1)
     if found.inner > 1 and found.first:
@@ -280,20 +286,24 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, leaf_rows: int = LEAF
     most probable leaf; a query goes to as many of its most probable leaves as the audit asks for. A leaf is cut by
     hash into blocks of about ``BLOCK`` nodes, each held by one task while the queries stream by. A query that finds
     fewer than ``k`` is asked again in all leaves. Unusable vectors take no part; rows with a null vec_id neither.
-    Rows of one vec_id never find each other; a repeated query is answered once, by its smallest vector.
+    Rows of one vec_id never find each other; a repeated query is answered once, by its vector of smallest hash.
     """
     rows = usable(df.where(F.col("vec_id").isNotNull())).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("v"))
-    rows = stash(rows.withColumn("h", F.xxhash64("v")).distinct(), "ann-rows")
-    few = rows.selectExpr("vec_id", "h", "v", "row_number() over (partition by h, v order by vec_id) as place").where(F.col("place") <= k + 1)
-    nodes = few.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("node", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0])
-    nodes = stash(nodes, "ann-nodes")
+    # Equal vectors are known by 128 bits of hash, so that the vectors themselves are moved once.
+    rows = stash(rows.withColumns({"h": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "ann-rows")
+    named_rows = rows.select("vec_id", "h", "h2").distinct()
+    few = named_rows.selectExpr("vec_id", "h", "h2", "row_number() over (partition by h, h2 order by vec_id) as place").where(F.col("place") <= k + 1)
+    few = few.groupBy("h", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    nodes = rows.groupBy("h", "h2").agg(F.first("v").alias("v")).join(few, ["h", "h2"])
+    nodes = stash(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0]), "ann-nodes")
     found = partitions(nodes.select("node", "h", "v"), nodes.count(), k, leaf_rows)
     model = df.sparkSession.sparkContext.broadcast(found)
     home = F.arrow_udf(lambda v: pa.array(model.value.home(matrix(v)) if len(v) else [], pa.int32()), "int")
     index = stash(nodes.select("node", "h", "v", "least", home("v").alias("leaf")), "ann-index")
     sizes = stash(index.groupBy("leaf").agg(F.count("*").alias("n")), "ann-sizes")
-    own = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("v", "h")).alias("x")).select(F.col("vec_id").alias("query_id"), "x.v", "x.h")
-    who = stash(own.join(nodes.select("h", "v", "node"), ["h", "v"]).select("query_id", "node"), "ann-queries")
+    wanted = queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
+    own = named_rows.join(wanted, "vec_id", "left_semi").groupBy("vec_id").agg(F.min(F.struct("h", "h2")).alias("x")).select(F.col("vec_id").alias("query_id"), "x.h", "x.h2")
+    who = stash(own.join(nodes.select("h", "h2", "node"), ["h", "h2"]).select("query_id", "node"), "ann-queries")
     asked = nodes.join(who.select("node").distinct(), "node", "left_semi").select("node", "v", "least")
     ids = nodes.select("node", "ids")
 
