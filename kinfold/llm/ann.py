@@ -20,7 +20,7 @@ AUDIT_EVERY = 6
 #: Neighbours in the sample's graph.
 GRAPH_K = 10
 #: Distinct vectors in a partition, about, and partitions of a level, at most: beyond their product there are two levels.
-LEAF_ROWS = 2048
+LEAF_ROWS = 4096
 FAN = 64
 #: Share of the true neighbours that routing must find for the audit's queries; it fixes the number of probes.
 RECALL = 0.93
@@ -251,7 +251,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by block, candidates before queries: holds a block's candidates and answers its queries as they pass."""
-    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query", pa.int64()), ("node", pa.int64()), ("least", pa.int64()), ("score", pa.float64())])
     held: list[tuple] = []
     for new, part in grouped(batches, ["leaf", "block", "asks"]):
         v, node = matrix(part.column("v")), part.column("node").to_numpy()
@@ -262,11 +262,11 @@ def _compare(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             if len(held) > 1:
                 held = [tuple(np.concatenate(x) for x in zip(*held, strict=True))]
             q, row, score = _top(v, held[0][0], held[0][2], k)
-            yield pa.record_batch([pa.array(node[q]), pa.array(held[0][1][row]), pa.array(score)], schema=schema)
+            yield pa.record_batch([pa.array(node[q]), pa.array(held[0][1][row]), pa.array(held[0][2][row]), pa.array(score)], schema=schema)
 
 
 def _searched(nodes: DataFrame, asked: DataFrame, sizes: DataFrame, k: int, probes: int, model) -> DataFrame:
-    """``(query, node, score)``: per query node, the best ``k`` of each block of its ``probes`` most probable leaves."""
+    """``(query, node, least, score)``: per query node, the best ``k`` of each block of its ``probes`` most probable leaves."""
     order = F.arrow_udf(lambda v: pa.array(list(model.value.order(matrix(v))[:, :probes].astype(np.int32)) if len(v) else [], pa.list_(pa.int32())), "array<int>")
     spark = nodes.sparkSession
     blocks = sizes.selectExpr("leaf", f"cast(ceil(n / {BLOCK}) as int) as blocks")
@@ -275,7 +275,7 @@ def _searched(nodes: DataFrame, asked: DataFrame, sizes: DataFrame, k: int, prob
     sent = sent.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "node", "v", "least")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, blocks.agg(F.sum("blocks")).first()[0] or 1))
     dealt = held.unionByName(sent).repartition(tasks, "leaf", "block").sortWithinPartitions("leaf", "block", "asks")
-    return dealt.mapInArrow(lambda b: _compare(b, k), "query long, node long, score double")
+    return dealt.mapInArrow(lambda b: _compare(b, k), "query long, node long, least long, score double")
 
 
 def search(df: DataFrame, queries: DataFrame, k: int = 20, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -308,8 +308,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, leaf_rows: int = LEAF
     ids = nodes.select("node", "ids")
 
     def named(pairs: DataFrame) -> DataFrame:
-        """The best ``k + 1`` ids of each query node."""
-        shown = pairs.join(ids, "node").select("query", "score", F.explode("ids").alias("vec_id"))
+        """The best ``k + 1`` ids of each query node: they lie in its best ``k + 1`` nodes, so only those meet their ids."""
+        near = pairs.selectExpr("*", "row_number() over (partition by query order by score desc, least) as place").where(F.col("place") <= k + 1).select("query", "node", "score")
+        shown = near.join(ids, "node").select("query", "score", F.explode("ids").alias("vec_id"))
         return stash(shown.selectExpr("*", "row_number() over (partition by query order by score desc, vec_id) as place").where(F.col("place") <= k + 1).drop("place"), "ann-found")
 
     best = named(_searched(index, asked, sizes, k + 1, found.probes, model))
