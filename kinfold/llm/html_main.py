@@ -4,7 +4,7 @@ All pages of a host are merged: a node of the site tree is a path of tags and cl
 weight times the larger of its presentation entropy (how varied its children are from page to page) and its content
 entropy (how varied the text of its branch is). The weight is what the pages themselves say: little for navigation,
 footers, asides, forms, adverts, notices and comments and for what lies outside the article of a page that has one,
-all for the article, half where nothing is said. Every branch that goes from a page goes by its node's importance.
+all for the article, a third where nothing is said. Every branch that goes from a page goes by its node's importance.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from kinfold.llm.common import stash, stash_texts
 #: Branches of less importance are removed.
 LEAST_IMPORTANCE = 0.15
 #: Weights of a node: marked as no content, or outside a page's article; nothing said; in an article or main element, or holding it.
-MARKED, PLAIN, CONTENT = 0.1, 0.5, 1.0
+MARKED, PLAIN, CONTENT = 0.1, 0.3, 1.0
 #: An entropy counts with its pages against so many of one that is 1: a node that few pages show is not judged by them.
 PRIOR_PAGES = 1
 #: Elements nested deeper are read as siblings, as browsers do; their text stays.
