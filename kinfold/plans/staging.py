@@ -37,7 +37,7 @@ class Staged:
     def __init__(self, df: DataFrame, name: str, rows: int | None = None) -> None:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        (df if rows is None else df.coalesce(-(-rows // ROWS_IN_FILE) or 1)).write.parquet(self.path)
+        (df if rows is None else df.coalesce(-(-rows // ROWS_IN_FILE) or 1)).write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _LEFT[self.path] = self
 
