@@ -14,6 +14,8 @@ from kinfold.llm.common import row_keys, stash, stash_texts, whole_row
 
 #: Sentences in a run.
 RUN = 3
+#: Share of all runs from which on a run is dealt in parts.
+HOT = 0.001
 #: Letters of scripts written without spaces between words.
 _LETTERS = "฀-໿က-႟ក-៿々-〇぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾝ\U00020000-\U0003ffff"
 #: A sentence ends after . ! ? and the like with closing marks before white space, at a line end, after the full-width
@@ -77,16 +79,22 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     ``id`` is the doc_id as text, ``th`` the text's hash; rows equal in doc_id and text are one document. First is
     the smallest doc_id (null last), then the smallest hash, then the earliest sentence; a passage repeated inside
     one document counts. Occurrences are counted by half of a hash in partial aggregates, so a run that a third of
-    all documents share is one row per task there; only runs that occur twice meet again with their places.
+    all documents share is one row per task there; only runs that occur twice meet again with their places. A run
+    with more than a share of ``HOT`` of all rows, of which there can be but ``1 / HOT``, is dealt in parts of that size.
     """
     runs = F.arrow_udf(_runs, "array<struct<h1: bigint, h2: bigint, start: int, until: int>>")
     found = docs.select("doc_id", *row_keys(), F.posexplode(runs("text")).alias("pos", "r")).select("doc_id", "none", "id", "th", "pos", "r.*")
     rows = stash_texts(found, "spans-runs")
-    often = rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
-    twice = stash(rows.join(often, "h1", "left_semi"), "spans-repeated")
+    often = stash(rows.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1"), "spans-often")
+    most = max(1, int(rows.count() * HOT))
+    parts = often.select("h1", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    hot = F.broadcast(parts.where("parts > 1"))
+    dealt = rows.join(hot, "h1", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "pos"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    twice = stash(dealt.join(parts.select("h1", each), ["h1", "part"], "left_semi"), "spans-repeated")
     place = F.struct("none", "doc_id", "th", "pos")
-    firsts = twice.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    later = twice.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    firsts = twice.groupBy("h1", "h2").agg(F.min(place).alias("first"), (F.max("part") + 1).alias("parts")).select("h1", "h2", "first", each)
+    later = twice.join(firsts, ["h1", "h2", "part"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("none", "id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "until"))).alias("runs"))
 
 

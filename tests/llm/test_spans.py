@@ -94,6 +94,12 @@ def test_passages_in_other_scripts_and_short_sentences(spark):
         assert got == {1: rows[0][1], 2: "Here is another start.\nthen something else."}
 
 
+def test_a_run_that_very_many_documents_share(spark):
+    rows = [(k, f"Own words of number {k} come first. {P}") for k in range(500)]
+    got = {r.doc_id: r.kept_text for r in S.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {0: rows[0][1]} | {k: f"Own words of number {k} come first." for k in range(1, 500)}
+
+
 def test_the_callers_batches_are_left_alone(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     S.remove_repeats(docs(spark, [(1, P)])).count()
