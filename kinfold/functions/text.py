@@ -45,6 +45,12 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
 
 
+def native(text: Column, kind: Column) -> Column:
+    """The value that :func:`shown` made text of, as a variant of its own kind: a long, a double, a boolean or the text itself."""
+    number = F.when(kind == "int", text.try_cast("bigint").cast("variant")).when(kind == "float", text.try_cast("double").cast("variant"))
+    return F.coalesce(number, F.when(kind == "bool", F.lower(text).try_cast("boolean").cast("variant")), text.cast("variant"))
+
+
 def shown(c: Column, kind: str) -> Column:
     """The text of a native value: integral doubles with ``.0``, booleans capitalised, timestamps in ISO form."""
     if kind in ("double", "float"):

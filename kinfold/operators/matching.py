@@ -9,6 +9,7 @@ from kinfold.functions.normalize import is_valid
 from kinfold.functions.text import MATCH_NULL_LITERALS, is_blank
 from kinfold.operators.components import clusters
 from kinfold.operators.numbering import numbered, tagged
+from kinfold.plans.staging import staged
 from kinfold.plans.vocabulary import COMPOSITE, RULES, Rule
 
 
@@ -82,6 +83,24 @@ def cluster_records(records: DataFrame, keys: DataFrame | None = None) -> DataFr
     return clusters(records.select(F.col("seq").alias("node")), star_links(keys)).withColumnRenamed("node", "seq")
 
 
+def grown_clusters(labels: DataFrame, keys: DataFrame, more: DataFrame, more_keys: DataFrame) -> DataFrame:
+    """``labels(seq, root)`` after the records ``more`` with ``more_keys`` have joined those with ``labels`` and ``keys``.
+
+    The new records are linked to each other and to the roots of the old ones that hold their values; only these links
+    are clustered, and old records whose root joined another change it. So the iteration is over the new records and
+    the roots they touch, not over all records.
+    """
+    held = keys.groupBy("identifier_type", "identifier_value").agg(F.min("seq").alias("seq"))
+    touched = more_keys.select("identifier_type", "identifier_value").distinct().join(held, ["identifier_type", "identifier_value"])
+    old = touched.join(labels, "seq").select("identifier_type", "identifier_value", "root")
+    across = more_keys.join(old, ["identifier_type", "identifier_value"]).select(F.col("seq").alias("a"), F.col("root").alias("b"))
+    nodes = more.select(F.col("seq").alias("node")).unionByName(across.select(F.col("b").alias("node")).distinct())
+    found = staged(clusters(nodes, star_links(more_keys).unionByName(across)), "grown")
+    moved = found.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("now"))
+    kept = labels.join(moved, "root", "left").select("seq", F.coalesce("now", "root").alias("root"))
+    return kept.unionByName(more.select("seq").join(found.withColumnRenamed("node", "seq"), "seq").select("seq", "root"))
+
+
 def clusters_from_edges(records: DataFrame, edges: DataFrame) -> DataFrame:
     """The same from a stored edge log."""
     return clusters(records.select(F.col("seq").alias("node")), edges.select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"))).withColumnRenamed("node", "seq")

@@ -21,11 +21,21 @@ class Resolution:
     sources: DataFrame
     priority_source: str = survivorship.DEFAULT_PRIORITY_SOURCE
     require_valid: bool = False
+    #: Clusters of the records that are known already.
+    known_labels: DataFrame | None = None
+    #: The resolution that this one extends, and the records that it adds.
+    grown_from: tuple[Resolution, DataFrame] | None = None
 
     @cached_property
     def keys(self) -> DataFrame:
+        if self.grown_from:
+            return self.grown_from[0].keys.unionByName(self._more_keys)
         return staged(matching.match_keys(self.records, require_valid=self.require_valid), "keys")
 
+    @cached_property
+    def _more_keys(self) -> DataFrame:
+        return staged(matching.match_keys(self.grown_from[1], require_valid=self.require_valid), "keys")
+
     @cached_property
     def identifier_index(self) -> DataFrame:
         return matching.identifier_index(self.keys)
@@ -36,6 +46,11 @@ class Resolution:
 
     @cached_property
     def labels(self) -> DataFrame:
+        if self.known_labels is not None:
+            return self.known_labels
+        if self.grown_from:
+            earlier, more = self.grown_from
+            return staged(matching.grown_clusters(earlier.labels, earlier.keys, more, self._more_keys), "labels")
         return staged(matching.cluster_records(self.records, self.keys), "labels")
 
     @cached_property
@@ -84,10 +99,13 @@ def resolve(sources: list[Source], priority_source: str = survivorship.DEFAULT_P
 
 
 def extend(earlier: Resolution, sources: list[Source]) -> Resolution:
-    """The earlier records and those of more sources, resolved together: stored records are matched as new ones are."""
+    """The earlier records and those of more sources, resolved together: stored records are matched as new ones are.
+
+    The earlier clusters are grown by the new records, not found again.
+    """
     last = earlier.records.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     more = staged(canonical_records(sources, start=last), "records")
     spark = more.sparkSession
     names = spark.createDataFrame([(s.source_id, s.source_name or s.source_id) for s in sources], "source_id string, source_name string")
     known = earlier.sources.join(names, "source_id", "left_anti").unionByName(names.distinct())
-    return Resolution(earlier.records.unionByName(more), known, earlier.priority_source, earlier.require_valid)
+    return Resolution(earlier.records.unionByName(more), known, earlier.priority_source, earlier.require_valid, grown_from=(earlier, more))

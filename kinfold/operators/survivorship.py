@@ -80,7 +80,9 @@ def attribute_entries(records: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def survivors(entries: DataFrame, priority_source: str = DEFAULT_PRIORITY_SOURCE) -> DataFrame:
-    """``(entity_id, attribute, resolved_value, source_id, record_uuid, source_column, raw_value, resolution_rule, conflict_details)``.
+    """``(entity_id, attribute, resolved_value, kind, source_id, record_uuid, source_column, raw_value, resolution_rule, conflict_details)``.
+
+    ``kind`` is that of the value's source, so that :func:`text.native` gives the value back in its own type.
 
     Rules in order: the most recent value of a temporal attribute; the single value; the one value all agree on;
     the most frequent; among equally frequent ones that of the priority source; the longest, then first by
@@ -122,7 +124,7 @@ def survivors(entries: DataFrame, priority_source: str = DEFAULT_PRIORITY_SOURCE
     won = won.withColumn("at", F.when(recent, F.col("latest")).when(trusted, F.col("trusted")).otherwise(F.col("first")))
     raw = F.col("at.raw_value")
     resolved = F.when(recent, raw).when(F.col("attribute") == "phone", normalize(F.col("norm_value"), "phone")).when(F.col("attribute").isin(*IDENTIFIERS_SHOWN_NORMAL), F.col("norm_value")).otherwise(raw)
-    chosen = won.select("entity_id", "attribute", resolved.alias("resolved_value"), "at.source_id", "at.record_uuid", "at.source_column", raw.alias("raw_value"), F.col("rule").alias("resolution_rule"), "distinct")
+    chosen = won.select("entity_id", "attribute", resolved.alias("resolved_value"), "at.kind", "at.source_id", "at.record_uuid", "at.source_column", raw.alias("raw_value"), F.col("rule").alias("resolution_rule"), "distinct")
     logged = conflict_log(entries, chosen.where((F.col("distinct") > 1) & (F.col("resolution_rule") != "MOST_RECENT_TIMESTAMP")).select("entity_id", "attribute"))
     return chosen.drop("distinct").where(~is_blank(F.col("resolved_value"))).join(logged, ["entity_id", "attribute"], "left")
 

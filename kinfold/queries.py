@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import similarity as sim
 from kinfold.functions.normalize import is_valid, normalize
-from kinfold.functions.text import MATCH_NULL_LITERALS, is_blank
+from kinfold.functions.text import MATCH_NULL_LITERALS, is_blank, native
 from kinfold.operators import features, jobs, linkage_models, master, matching, search, statistics, survivorship
 from kinfold.operators.records import Source, canonical_records
 from kinfold.operators.resolve import Resolution, extend, resolve
@@ -348,6 +348,15 @@ def survivor_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(order_entries(spark, sf_dir), "src_1").select("entity_id", "attribute", "resolved_value", "resolution_rule", "source_id")
 
 
+@query("native_values", ORDER_ENTRIES_SQL + SURVIVE_SQL.replace("PRIORITY'", "src_1'", 1) + " SELECT entity_id, max(TRY_CAST(raw_value AS BIGINT)) FILTER (attribute = 'units') AS units, max(raw_value) FILTER (attribute = 'notes') AS notes FROM won GROUP BY entity_id")
+def native_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resolved values back in the types of their sources."""
+    found = survivorship.survivors(order_entries(spark, sf_dir), "src_1").select("entity_id", "attribute", native(F.col("resolved_value"), F.col("kind")).alias("v"))
+    units = F.when(F.schema_of_variant("v") == "BIGINT", F.variant_get("v", "$", "bigint"))
+    of = lambda a, c: F.max(F.when(F.col("attribute") == a, c)).alias(a)
+    return found.groupBy("entity_id").agg(of("units", units), of("notes", F.variant_get("v", "$", "string")))
+
+
 @query("survivor_rule_counts", ORDER_ENTRIES_SQL + SURVIVE_SQL.replace("PRIORITY'", "src_1'", 1) + " SELECT attribute, resolution_rule, count(*) AS n FROM won GROUP BY ALL")
 def survivor_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.survivors(order_entries(spark, sf_dir), "src_1").groupBy("attribute", "resolution_rule").agg(F.count("*").alias("n"))

@@ -21,6 +21,7 @@ SCHEMAS = {
     "master_entities": "entity_id string, cluster_size long, golden_name string, golden_email string, golden_phone string, golden_username string, golden_member_id string, golden_address string, golden_company string, attributes map<string,string>, entity_quality_score double",
     "entity_members": "entity_id string, seq long, record_uuid string, source_id string, cluster_size long",
     "field_provenance": "provenance_id string, entity_id string, canonical_field string, resolved_value string, source_id string, record_uuid string, source_column string, raw_value string, normalized_value string, resolution_rule string, conflict_details string",
+    "cluster_labels": "seq long, root long",
     "job_runs": "job_id string, source_id string, job_type string, status string, total_records long, last_checkpoint_chunk long, error_message string, at timestamp, version long",
 }
 
@@ -118,12 +119,15 @@ class Repository:
         """The stored records and sources as a resolution; its clusters are those of the stored records' keys."""
         return Resolution(self.read("canonical_records"), self.read("data_sources").select("source_id", "source_name"))
 
-    def keep(self, records: DataFrame, sources: DataFrame, version: int) -> None:
-        """Records and sources as they are after step ``version``; repeating a step replaces what it left."""
-        self.overwrite("data_sources", sources, version)
-        self.overwrite("canonical_records", records, version)
+    def keep(self, r: Resolution, version: int) -> None:
+        """Records, sources and clusters as they are after step ``version``; repeating a step replaces what it left."""
+        for name, df in (("data_sources", r.sources), ("cluster_labels", r.labels), ("canonical_records", r.records)):
+            self.overwrite(name, df, version)
 
     def kept(self, before: int) -> Resolution | None:
         """The newest of the kept states older than step ``before``; None if there is none."""
         found = [v for v in self._versions("canonical_records") if v < before]
-        return Resolution(self.read("canonical_records", found[-1]), self.read("data_sources", found[-1]).select("source_id", "source_name")) if found else None
+        if not found:
+            return None
+        records, sources, labels = (self.read(name, found[-1]) for name in ("canonical_records", "data_sources", "cluster_labels"))
+        return Resolution(records, sources.select("source_id", "source_name"), known_labels=labels)

@@ -18,15 +18,15 @@ def resolve_stream(stream: DataFrame, as_source: Callable[[DataFrame, int], Sour
 
     What came before lies in ``store`` under the batch's number, not in the driver: a restarted query goes on from
     there, and a batch that is delivered again is resolved against the state before it, so ``publish`` must replace,
-    not add. ``earlier`` counts where the store holds nothing. A batch's own rows are normalised once; the clusters
-    of all records are found anew, since a late record can join any two of them.
+    not add. ``earlier`` counts where the store holds nothing. A batch's own rows are normalised once, and the clusters
+    of the stored records are grown by them (see :func:`matching.grown_clusters`).
     """
 
     def batch(df: DataFrame, number: int) -> None:
         before = store.kept(number + 1) or earlier
         source = as_source(df, number)
         now = resolve([source]) if before is None else extend(before, [source])
-        store.keep(now.records, now.sources, number + 1)
+        store.keep(now, number + 1)
         publish(now, number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

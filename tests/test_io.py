@@ -9,6 +9,7 @@ from kinfold.operators.components import clusters, connected_components
 from kinfold.operators.numbering import numbered, tagged
 from kinfold.operators.records import Source
 from kinfold.sources import files, sql_dump
+from kinfold.sources.demo import demo_tables, write_demo
 from kinfold.sources.repository import Repository
 from kinfold.sources.sql_dump import read_sql_dump
 from kinfold.streaming import ingest
@@ -140,6 +141,12 @@ def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
     assert {(r.source_id, r.source_name) for r in repo.read("data_sources").collect()} == {("c", "y"), ("d", "z")}
 
 
+def test_demo(spark, tmp_path):
+    got = main(write_demo(str(tmp_path)))
+    assert (got["total_records"], got["total_entities"], got["linked_entities"]) == (6, 4, 2)
+    assert {n: df.count() for n, df in demo_tables(spark, str(tmp_path)).items()} == {"people_a.csv": 3, "people_b.csv": 3}
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.csv").write_text("full_name,email_id\nAnn,a@b.c\nBob,\n")
     (tmp_path / "b.sql").write_text("CREATE TABLE t (contact_id INTEGER, email_address TEXT, city TEXT); INSERT INTO t VALUES (1, 'A@B.C ', 'Rome');")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import similarity as sim
 from kinfold.functions.normalize import is_valid, normalize
-from kinfold.functions.text import is_blank, shown, slug, title_case
+from kinfold.functions.text import is_blank, native, shown, slug, title_case
 
 CASES = [
     ("email", "  Foo.Bar@X.Co ", "foo.bar@x.co", True), ("email", "not mail", "not mail", False), ("email", None, "", True), ("email", " NaN ", "", True),
@@ -55,3 +55,9 @@ def test_similarities(spark):
         F.round(sim.levenshtein_similarity(F.col("a"), F.col("b")), 4), F.round(sim.token_jaccard(F.col("c"), F.col("d")), 4), sim.exact(F.col("e"), F.col("e")), sim.year_match(F.col("f"), F.lit("1990")), sim.soundex_equal(F.lit("Robert"), F.lit("Rupert")), sim.levenshtein_similarity(F.lit(None).cast("string"), F.col("a")),
     ).first()
     assert tuple(row) == (0.5714, 0.3333, 0.0, 1.0, 1.0, 0.0)
+
+
+def test_native_values(spark):
+    df = spark.createDataFrame([("5", "int"), ("0.0", "float"), ("False", "bool"), ("05", "text"), (None, "int")], "t string, k string").select(native(F.col("t"), F.col("k")).alias("v"))
+    got = df.select(F.schema_of_variant("v").alias("s"), F.to_json("v").alias("j")).collect()
+    assert [r.s for r in got[:4]] == ["BIGINT", "DOUBLE", "BOOLEAN", "STRING"] and [r.j for r in got] == ["5", "0.0", "false", '"05"', None]

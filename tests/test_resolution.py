@@ -78,6 +78,20 @@ def test_later_sources_match_stored_records(spark, demo):
     assert partition_of(extend(resolve([a]), [b])) == partition_of(demo)
 
 
+def test_clusters_grow_as_they_would_be_found(spark):
+    """Random records that share values, resolved at once and in steps."""
+    rng = random.Random(5)
+    rows = [(f"u{rng.randrange(60)}" if rng.random() < 0.5 else None, f"m{rng.randrange(60)}@x.y" if rng.random() < 0.6 else None, k) for k in range(80)]
+    source = lambda n, part: Source(f"s{n}", spark.createDataFrame(part, "uid string, mail string, k int"), {"uid": "uid", "mail": "email"}, order=("k",))
+    parts = [rows[:30], rows[30:31], rows[31:]]
+    now = None
+    for n, part in enumerate(parts):
+        now = resolve([source(n, part)]) if now is None else extend(now, [source(n, part)])
+    at_once = resolve([source(n, part) for n, part in enumerate(parts)])
+    assert sorted(map(tuple, now.labels.select("seq", "root").collect())) == sorted(map(tuple, at_once.labels.select("seq", "root").collect()))
+    assert sorted(map(tuple, now.members.collect())) == sorted(map(tuple, at_once.members.collect()))
+
+
 def test_blanks_never_link(spark):
     df = spark.createDataFrame([(None, "", "a"), ("  ", "n/a", "b"), ("x@y.z", "-", "c")], "email string, phone string, name string")
     r = resolve([Source("s", df, {"email": "email", "phone": "phone", "name": "name"}, order=("name",))])
