@@ -104,3 +104,20 @@ def test_the_callers_batches_are_left_alone(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     S.remove_repeats(docs(spark, [(1, P)])).count()
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_a_passage_inside_sentences_with_fewer_whole_ones_than_a_run(spark):
+    passage = " ".join(f"{'Pasted' if k == 0 else 'word'}{k}{'.' if k in (19, 33) else ''}" for k in range(60))
+    one = " ".join(f"alone{k}" for k in range(60))
+    rows = [(1, f"first of all we {passage} then say more. {one}"), (2, f"İ and others {passage.upper()} go on here. so {one} too"), (3, "Nothing of it is in here. " * 2 + "And so it ends.")]
+    got = {r.doc_id: r for r in S.remove_repeats(docs(spark, rows)).collect()}
+    assert got[1].kept_text == rows[0][1] and got[3].kept_text == rows[2][1] and not got[1].changed
+    left = got[2].kept_text
+    assert got[2].changed and 1 <= got[2].sentences_removed <= 3 and sum(w.startswith(("PASTED", "WORD")) for w in left.split()) <= 2 * S.REACH
+    assert left.startswith("İ and others ") and left.endswith(f"go on here. so {one} too")
+
+
+def test_spans_follow_from_their_words_alone():
+    passage = " ".join(f"w{k * k % 101}{'.' if k == 25 else ''}" for k in range(S.SPAN + S.REACH - 1))
+    found = [{*zip(*(x.tolist() for x in S.span_hashes(f"{a} {passage} {b}")[:2]), strict=True)} for a, b in (("x", "y"), ("some other words before it", "and İ after"), ("a. " * 9, "b. " * 9))]
+    assert found[0] & found[1] and found[0] & found[2] and S.span_hashes("")[0].size == S.span_hashes(None)[0].size == 0
