@@ -50,13 +50,13 @@ def sentences(text: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def run_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def run_hashes(text: str | None, found: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``(h1, h2, start, until)`` of every run of ``RUN`` sentences, in order; fewer sentences have no run.
 
     Sentences are compared by their lower-cased words; a run's hash has 128 bits. ``until`` is where the sentence
-    after the run starts, or the text's end.
+    after the run starts, or the text's end. ``found`` is what :func:`sentences` gives, if known.
     """
-    starts, ends = sentences(text) if text else ([], [])
+    starts, ends = found or (sentences(text) if text else ([], []))
     n = len(starts) - RUN + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
@@ -80,7 +80,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x * _ODD[1]
 
 
-def span_hashes(text: str | None) -> tuple[np.ndarray, ...]:
+def span_hashes(text: str | None, found: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, ...]:
     """``(h1, h2, start, until, pos, n)`` of chosen spans of ``SPAN`` words that go over the end of a sentence.
 
     Spans within one sentence are none, and those that hold ``RUN`` whole sentences have a run. Of the others among every
@@ -93,8 +93,8 @@ def span_hashes(text: str | None) -> tuple[np.ndarray, ...]:
         return none
     said, places = text.lower(), None
     if len(said) != len(text):  # some letters have longer small forms
-        words = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", text)]
-        said, places = " ".join(w for _, w in words), np.array([a for a, _ in words], dtype=np.int64)
+        lowered = [(m.start(), m.group().lower()) for m in re.finditer(r"\S+", text)]
+        said, places = " ".join(w for _, w in lowered), np.array([a for a, _ in lowered], dtype=np.int64)
     code = np.frombuffer(said.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     blank = np.concatenate(([True], _BLANK[np.minimum(code, len(_BLANK) - 1)], [True]))
     edge = np.flatnonzero(blank[1:] != blank[:-1])
@@ -107,14 +107,15 @@ def span_hashes(text: str | None) -> tuple[np.ndarray, ...]:
         n = len(word) - SPAN + 1
         order = _mixed(word[:n] + (word[1 : n + 1] ^ _ODD[0]) * _ODD[0] + (word[2 : n + 2] ^ _ODD[1]) * _ODD[1])
     place = first if places is None else places
-    begins, every = np.searchsorted(place, np.array(sentences(text)[0], dtype=np.int64)), np.arange(n)
+    begins, every = np.searchsorted(place, np.array((found or sentences(text))[0], dtype=np.int64)), np.arange(n)
     low, high = np.searchsorted(begins, every, "right"), np.searchsorted(begins, every + SPAN, "left")
     fit = (high > low) & (high - low <= RUN)
     order[~fit] = np.uint64(0xFFFFFFFFFFFFFFFF)
     at = np.unique(np.lib.stride_tricks.sliding_window_view(order, REACH).argmin(axis=1) + every[: n - REACH + 1])
     at = at[fit[at]]
     low, high = low[at], high[at]
-    digests = b"".join(xxhash.xxh3_128_digest(" ".join(said[first[i] : last[i + SPAN - 1]].split()).encode("utf-8", "surrogatepass")) for i in at)
+    words = said.split()
+    digests = b"".join(xxhash.xxh3_128_digest(" ".join(words[i : i + SPAN]).encode("utf-8", "surrogatepass")) for i in at.tolist())
     own = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
     after = np.append(place, len(text)).astype(np.int32)
     pos = np.maximum(low - 1, 0)
@@ -122,9 +123,10 @@ def span_hashes(text: str | None) -> tuple[np.ndarray, ...]:
 
 
 def _hashes(text: str | None) -> list[np.ndarray]:
-    runs = run_hashes(text)
+    bounds = sentences(text) if text else ([], [])
+    runs = run_hashes(text, bounds)
     n = len(runs[0])
-    return [np.concatenate(x) for x in zip((*runs, np.arange(n, dtype=np.int32), np.full(n, RUN, np.int32)), span_hashes(text), strict=True)]
+    return [np.concatenate(x) for x in zip((*runs, np.arange(n, dtype=np.int32), np.full(n, RUN, np.int32)), span_hashes(text, bounds), strict=True)]
 
 
 def _runs(texts: pa.Array) -> pa.Array:
